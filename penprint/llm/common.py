@@ -103,3 +103,37 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
 def either(first: DataFrame, *more: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, more, first)
+
+
+def id_bound_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most_rows: int = 200_000) -> DataFrame:
+    """Join by a key, ``small`` being a written table: broadcast where its counted rows stay below a bound, else a shuffle."""
+    n = small.limit(most_rows + 1).count()
+    return big.join(F.broadcast(small) if n <= most_rows else small, key, how)
+
+
+def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """Apply ``fn(pa.Table) -> Iterator[pa.RecordBatch]`` to the rows of each key, many keys to a task, one in memory at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            cols = [batch.column(k).to_pylist() for k in keys]
+            marks = list(zip(*cols, strict=True))
+            start = 0
+            for i in range(n):
+                if i == start:
+                    if held and last != marks[i]:  # noqa: F821
+                        yield from fn(pa.Table.from_batches(held))
+                        held = []
+                elif marks[i] != marks[i - 1]:
+                    held.append(batch.slice(start, i - start))
+                    yield from fn(pa.Table.from_batches(held))
+                    held, start = [], i
+            held.append(batch.slice(start))
+            last = marks[-1]  # noqa: F841
+        if held:
+            yield from fn(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
