@@ -95,9 +95,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     for m in maps[1:]:
         roots = roots.join(m.withColumnRenamed("u", "at"), "at", "left").select("node", F.coalesce("p", "at").alias("at"))
     roots, path = kept(roots)
-    least = roots.groupBy("at").agg(F.min("node").alias("component"))
+    least, least_path = kept(roots.groupBy("at").agg(F.min("node").alias("component")))
     out, _ = kept(roots.join(least, "at").select("node", "component"))
-    dropped(spark, path, *paths)
+    dropped(spark, path, least_path, *paths)
     return out
 
 
@@ -105,7 +105,7 @@ def either(first: DataFrame, *more: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, more, first)
 
 
-def id_bound_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most_rows: int = 200_000) -> DataFrame:
+def id_bound_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", most_rows: int = 200_000) -> DataFrame:
     """Join by a key, ``small`` being a written table: broadcast where its counted rows stay below a bound, else a shuffle."""
     n = small.limit(most_rows + 1).count()
     return big.join(F.broadcast(small) if n <= most_rows else small, key, how)
