@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(doc_key(id_col, text_col).alias("k"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     sketched, sketch_path = kept(rows.mapInArrow(lambda b: _sketched(b, k, m, least), "k long, digest binary, words binary, keys array<long>"))
-    copies = sketched.groupBy("digest").agg(F.min("k").alias("rep"))
+    # counts are written before rows meet them in a join: its two sides are then plain exchanges, whose hot keys split
+    copies, copies_path = kept(sketched.groupBy("digest").agg(F.min("k").alias("rep")))
     members, member_path = kept(sketched.select("k", "digest").join(copies, "digest").select("k", "rep", "digest").distinct())
     texts = sketched.select(F.col("k").alias("rep"), "digest", "words", "keys")
     first = members.where("k = rep").select("rep", "digest")
@@ -226,6 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     keys = texts.select("rep", "digest", "keys").join(first, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"]).select("rep", F.posexplode("keys").alias("band", "bucket"))
     keys, key_path = kept(keys)
     leads = keys.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last")
+    leads, leads_path = kept(leads)
     shared, shared_path = kept(keys.join(leads, "bucket").select("bucket", "band", "rep", "lead"))
     pairs, pair_path = kept(shared.where("rep <> lead").select(F.col("lead").alias("src"), F.col("rep").alias("dst")).distinct())
     needed, needed_path = kept(shared.select("rep").distinct())
@@ -243,6 +245,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     held = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     held, held_path = kept(held)
     several = held.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a <> b").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    several, several_path = kept(several)
     mixed_rows = held.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     mixed_rows = mixed_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mixed_rows = mixed_rows.select("bucket", "band", "rep", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -260,5 +263,5 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     classes = members.join(comp_all.withColumnRenamed("node", "rep"), "rep", "left").groupBy("k").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     out = docs.select(F.col(id_col).alias("doc_id"), doc_key(id_col, text_col).alias("key")).join(classes.withColumnRenamed("k", "key"), "key")
     out, _ = kept(out.select("doc_id", "key", "class_id", (F.col("key") == F.col("class_id")).alias("kept")))
-    dropped(spark, sketch_path, member_path, key_path, shared_path, pair_path, needed_path, found_path, link_path, held_path, more_path)
+    dropped(spark, sketch_path, copies_path, leads_path, several_path, member_path, key_path, shared_path, pair_path, needed_path, found_path, link_path, held_path, more_path)
     return out
