@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lots
+
 #: Characters in a leaf of a text, bytes in a leaf of one long match.
 LEAF, PIECE = 16_384, 2_048
 #: A vocabulary file above this isn't broadcast.
@@ -130,7 +132,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, patter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for batch in batches:
+        for batch in lots(batches):
             codec = codec or Codec(ranks_of(shared.value), pattern)
             ids, texts = batch.columns
             out = [row(codec, t if t is not None else null) for t in texts.to_pylist()]

@@ -105,10 +105,24 @@ def either(first: DataFrame, *more: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, more, first)
 
 
-def id_bound_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", most_rows: int = 200_000) -> DataFrame:
-    """Join by a key, ``small`` being a written table: broadcast where its counted rows stay below a bound, else a shuffle."""
-    n = small.limit(most_rows + 1).count()
-    return big.join(F.broadcast(small) if n <= most_rows else small, key, how)
+#: A written table is broadcast up to so many rows and bytes (as Parquet).
+MOST_ROWS, MOST_BYTES = 200_000, 8 << 20
+
+
+def id_bound_join(big: DataFrame, small: DataFrame, path: str, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Join by a key with a table written to ``path``: broadcast where its size, measured, keeps below a bound, else a shuffle."""
+    spark = big.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    fits = size <= MOST_BYTES and small.limit(MOST_ROWS + 1).count() <= MOST_ROWS
+    return big.join(F.broadcast(small) if fits else small, key, how)
+
+
+def lots(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that only few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:

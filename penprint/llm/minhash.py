@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, doc_key, dropped, id_bound_join, kept
+from .common import by_group, components, doc_key, dropped, id_bound_join, kept, lots
 
 SHINGLE, THRESHOLD, SKETCHES, LEAST = 5, 0.8, 24, 3
 #: Members of a bucket that are compared in one task; larger buckets go in pairs of blocks.
-BLOCK = 256
+BLOCK = 512
 _STRIP = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”‘’„…–—¿¡"
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,7 +148,7 @@ def alike(a: np.ndarray, b: np.ndarray, k: int, threshold: float, sa: np.ndarray
 
 def _sketched(batches: Iterator[pa.RecordBatch], k: int, m: int, least: int) -> Iterator[pa.RecordBatch]:
     words_of = Words()
-    for batch in batches:
+    for batch in lots(batches):
         words, keys = [], []
         for text in batch.column("text").to_pylist():
             w = words_of(text or "")
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     pairs, pair_path = kept(shared.where("rep <> lead").select(F.col("lead").alias("src"), F.col("rep").alias("dst")).distinct())
     needed, needed_path = kept(shared.select("rep").distinct())
     # the words of those texts only; a text that several rows share is read once
-    found = id_bound_join(texts.select("rep", "digest", "words", "keys"), needed, "rep", "left_semi").join(first, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"])
+    found = id_bound_join(texts.select("rep", "digest", "words", "keys"), needed, needed_path, "rep", "left_semi").join(first, ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"])
     found, found_path = kept(found.select("rep", "words", "keys"))
 
     one = found.select(F.col("rep").alias("dst"), F.col("words").alias("wb"))
@@ -244,10 +244,17 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     comp = components(links)
     held = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     held, held_path = kept(held)
-    several = held.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a <> b").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    # Members of a bucket's largest group need no comparison among themselves: blocks of the rest come first, and every pair of
+    # blocks has one of them.
+    groups = held.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    several = groups.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("major"), F.sum("c").alias("c"), F.count("*").alias("groups")).where("groups > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    several = several.select("bucket", F.col("major.comp").alias("major"), blocks(F.col("c") - F.col("major.c")).alias("rest"), blocks(F.col("major.c")).alias("most"))
     several, several_path = kept(several)
-    mixed_rows = held.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    mixed_rows = mixed_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed_rows = held.join(several, "bucket").withColumn("h", F.xxhash64("rep"))
+    inner = F.col("comp") == F.col("major")
+    mixed_rows = mixed_rows.withColumn("block", F.when(inner, F.col("rest") + F.pmod("h", "most")).otherwise(F.pmod("h", "rest")).cast("int"))
+    mixed_rows = mixed_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("rest")).otherwise(F.col("rest") + F.col("most")) - 1)))
     mixed_rows = mixed_rows.select("bucket", "band", "rep", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     sized = found.withColumn("n", F.greatest(F.lit(1), F.octet_length("words") / 4 - (k - 1)).cast("long"))
     more = by_group(mixed_rows.join(sized, "rep"), ["bucket", "low", "high"], lambda t: _across(t, k, threshold), link)

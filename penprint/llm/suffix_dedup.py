@@ -9,7 +9,8 @@
    from them, by deep-shallow sorting: multikey quicksort to a shallow depth, then a blind trie for each group whose
    common prefix goes deeper. In these two orders the strings that share a window lie side by side: for each offset,
    ranks at the two match lengths tell which windows occur twice. Bytes are compared, not hashes.
-   A core with very many different outer strings goes another exact way: its windows' 128-bit digests are counted.
+   A core with very many different outer strings goes another exact way: its half is cut in parts, each with a longer core
+   and a shorter outer string, which are counted in the same way; of what is left the windows' 128-bit digests are counted.
 4. *Removal.* A document's covered ranges are merged and cut out.
 
 Matches never cross documents, and strings are judged on the input. Exact copies of a text count by number.
@@ -29,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, dropped, id_bound_join, kept, partitions_for
+from .common import doc_key, dropped, id_bound_join, kept, lots, partitions_for
 
 LENGTH, GRAM = 400, 32
 #: Bytes that multikey quicksort looks at, different outer strings of a core that are sorted in one task, strings in a task.
 SHALLOW, MOST_OUTER, EACH = 32, 1_000, 6_000
+#: Parts of a hot core's half.
+PARTS = 8
 _P = 0x9E3779B97F4A7C15
 
 
@@ -81,12 +84,12 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
     from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
     parts = halves(length, k)
-    spots = pa.list_(pa.struct([("pos", pa.int32()), ("half", pa.int8()), ("core", pa.int64()), ("outer", pa.binary())]))
-    for batch in batches:
-        sizes, found = [], []
+    for batch in lots(batches):
+        sizes, ends = [], [0]
+        places, of_half, cores, outers = [], [], [], []
         for text in batch.column("text").to_pylist():
             data = (text or "").encode()
-            n, rows = len(data), []
+            n = len(data)
             sizes.append(n)
             for m in anchors(data, length, k).tolist():
                 for half, (a, b) in enumerate(parts):
@@ -94,12 +97,14 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
                     if lo < 0 or hi > n:
                         continue
                     start, end = max(0, m - b), min(n, m - a + length)
-                    core = xxh3_64_intdigest(data[lo:hi], half)
+                    places.append(m)
+                    of_half.append(half)
+                    cores.append(xxh3_64_intdigest(data[lo:hi], half))
                     # where the text cuts it short, an outer string equals only those that are cut alike
-                    outer = xxh3_128_digest(data[start:end], (lo - start) * 1_000 + end - hi)
-                    rows.append((m, half, core - (1 << 64) if core >> 63 else core, outer))
-            found.append([dict(zip(("pos", "half", "core", "outer"), r, strict=True)) for r in rows])
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(found, spots)], ["k", "digest", "size", "spots"])
+                    outers.append(xxh3_128_digest(data[start:end], (lo - start) * 1_000 + end - hi))
+            ends.append(len(places))
+        spot = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(of_half, pa.int8()), pa.array(np.array(cores, np.uint64).view(np.int64)), pa.array(outers, pa.binary())], ["pos", "half", "core", "outer"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spot)], ["k", "digest", "size", "spots"])
 
 
 # --- deep-shallow sorting
@@ -234,7 +239,7 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
 def _sliced(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """The strings around the anchors asked for: to the left of the core backwards, and from the core on."""
     parts = halves(length, k)
-    for batch in batches:
+    for batch in lots(batches):
         out: dict[str, list] = {c: [] for c in ("k", "digest", "pos", "half", "core", "weight", "hot", "left", "right")}
         for key, digest, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "text", "spots")), strict=True):
             data = (text or "").encode()
@@ -251,19 +256,65 @@ def _sliced(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], list(out))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Digests of all windows around the anchors of hot cores."""
+def _narrowed(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Each half of a hot core in :data:`PARTS` parts: ``core`` and ``outer`` digests, and the windows' first and last start."""
     from xxhash import xxh3_128_digest
 
-    parts = halves(length, k)
-    for batch in batches:
+    halved = halves(length, k)
+    for batch in lots(batches):
+        out: list[tuple] = []
         for key, digest, pos, half, weight, left, right in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "pos", "half", "weight", "left", "right")), strict=True):
-            a, b = parts[half]
-            whole = left[::-1] + right
-            starts = range(len(whole) - length + 1)
-            n = len(starts)
-            first = pos - a - len(left)
-            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(whole[i:i + length]) for i in starts], pa.binary()), pa.array([key] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array([first + i for i in starts], pa.int64()), pa.array([weight] * n, pa.int64())], ["window", "k", "digest", "start", "weight"])
+            a, b = halved[half]
+            whole, first = left[::-1] + right, pos - a - len(left)  # whole[i] stands at first + i
+            step = -(-(b - a + 1) // PARTS)
+            for x in range(a, b + 1, step):
+                y = min(b, x + step - 1)
+                lo, hi = pos - x - first, pos - y + length - first
+                if lo < 0 or hi > len(whole):
+                    continue
+                start, end = max(0, pos - y - first), min(len(whole), pos - x + length - first)
+                out.append((xxh3_128_digest(whole[lo:hi], x), xxh3_128_digest(whole[start:end], (lo - start) * 1_000 + end - hi), key, digest, weight, first + start, first + end - length, whole[start:end]))
+        if out:
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["core", "outer", "k", "digest", "weight", "start", "last", "piece"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Digests of all windows of the parts that counting cores and outer strings leaves open."""
+    from xxhash import xxh3_128_digest
+
+    for batch in lots(batches):
+        out: list[tuple] = []
+        for key, digest, weight, start, piece in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "weight", "start", "piece")), strict=True):
+            out.extend((xxh3_128_digest(piece[i:i + length]), key, digest, start + i, weight) for i in range(len(piece) - length + 1))
+        if out:
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["window", "k", "digest", "start", "weight"])
+
+
+def _hot_ends(hot: DataFrame, length: int, k: int, paths: list[str]) -> DataFrame:
+    """``k, digest, start, end`` of the repeats around anchors of hot cores; written tables are added to ``paths``."""
+    def written(df: DataFrame) -> DataFrame:
+        out, path = kept(df)
+        paths.append(path)
+        return out
+
+    parts = written(hot.mapInArrow(lambda b: _narrowed(b, length, k), "core binary, outer binary, k long, digest binary, weight long, start long, last long, piece binary"))
+    slim = parts.drop("piece")
+    cores = written(slim.groupBy("core").agg(F.sum("weight").alias("times")).where("times >= 2").select("core"))
+    outers = written(slim.groupBy("core", "outer").agg(F.sum("weight").alias("times")))
+    twice = outers.where("times >= 2").select("core", "outer")
+    settled = slim.join(twice, ["core", "outer"], "left_semi").select("k", "digest", "start", (F.col("last") + length).alias("end"))
+    once = outers.where("times < 2").join(cores, "core", "left_semi").select("core", "outer")
+    # of equal outer strings one stands for all against those that are met once
+    mixed = written(once.select("core").distinct())
+    ones = parts.join(once.select("outer"), "outer", "left_semi").select("outer", "k", "digest", "weight", "start", "piece")
+    others = parts.join(twice, ["core", "outer"], "left_semi").join(mixed, "core", "left_semi").groupBy("outer").agg(F.min(F.struct("k", "digest", "start", "piece")).alias("p"))
+    others = others.select("outer", "p.k", "p.digest", F.lit(2).cast("long").alias("weight"), "p.start", "p.piece")
+    windows = written(ones.unionByName(others).mapInArrow(lambda b: _windows(b, length), "window binary, k long, digest binary, start long, weight long"))
+    again = written(windows.groupBy("window").agg(F.sum("weight").alias("w"), F.countDistinct("k", "digest", "start").alias("places")).where("w >= 2 and (places > 1 or w > places)").select("window"))
+    found = windows.where("weight < 2").join(again, "window", "left_semi").select("k", "digest", "start", (F.col("start") + length).alias("end"))
+    return settled.unionByName(found)
 
 
 # --- removal
@@ -301,8 +352,8 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, digest, ranges`` for the texts that lose bytes: their merged byte ranges, sorted."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``key, text_digest, ranges`` for the texts that lose bytes: their merged byte ranges, sorted; and where it is written."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(doc_key(id_col, text_col).alias("k"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
@@ -330,36 +381,32 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col
     groups, groups_path = kept(groups)
     wanted = outers.join(groups, "core").select("core", F.least("weight", F.lit(2)).alias("weight"), (F.col("kinds") > MOST_OUTER).alias("hot"), "at.*")
     asked, asked_path = kept(wanted.groupBy("k", "digest").agg(F.collect_list(F.struct("pos", "half", "core", "weight", "hot")).alias("spots")))
-    texts = id_bound_join(base, asked, ["k", "digest"]).select("k", "digest", "text", "spots")
+    texts = id_bound_join(base, asked, asked_path, ["k", "digest"]).select("k", "digest", "text", "spots")
     slices = texts.mapInArrow(lambda b: _sliced(b, length, k), "k long, digest binary, pos int, half tinyint, core long, weight long, hot boolean, left binary, right binary")
     slices, slices_path = kept(slices)
     n = slices.where("not hot").count()
     spread = slices.where("not hot").repartition(partitions_for(spark, n, EACH), "core")
     ends = spread.mapInArrow(lambda b: _sorted_ranges(b, length, k), "k long, digest binary, start long, end long")
+    more: list[str] = []
     if not slices.where("hot").isEmpty():
-        windows, windows_path = kept(slices.where("hot").mapInArrow(lambda b: _windows(b, length, k), "window binary, k long, digest binary, start long, weight long").distinct())
-        again, again_path = kept(windows.groupBy("window").agg(F.sum("weight").alias("w")).where("w >= 2").select("window"))
-        hot = windows.join(again, "window").select("k", "digest", "start", (F.col("start") + length).alias("end"))
-        ends = ends.unionByName(hot)
-    else:
-        windows_path = again_path = None
+        ends = ends.unionByName(_hot_ends(slices.where("hot"), length, k, more))
     whole = found.join(copies.where("n >= 2").select("digest"), "digest").select("k", "digest", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
     every = settled.unionByName(ends).unionByName(whole)
     size = found.select("k", "digest", "size").distinct()
     union = F.udf(lambda r: [list(x) for x in merged([(a["start"], a["end"]) for a in r])], "array<array<long>>")
     out = every.groupBy("k", "digest").agg(F.collect_set(F.struct("start", "end")).alias("r")).join(size, ["k", "digest"])
     clipped = F.transform("r", lambda x: F.struct(x["start"].alias("start"), F.least(x["end"], F.col("size")).alias("end")))
-    out, _ = kept(out.select(F.col("k").alias("key"), F.col("digest").alias("text_digest"), union(clipped).alias("ranges")))
-    dropped(spark, *(p for p in (found_path, copies_path, spots_path, cores_path, live_path, outers_path, groups_path, asked_path, slices_path, windows_path, again_path) if p))
-    return out
+    out, out_path = kept(out.select(F.col("k").alias("key"), F.col("digest").alias("text_digest"), union(clipped).alias("ranges")))
+    dropped(spark, *(p for p in (found_path, copies_path, spots_path, cores_path, live_path, outers_path, groups_path, asked_path, slices_path, *more) if p))
+    return out, out_path
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _with_ranges(docs: DataFrame, ranges: tuple[DataFrame, str], id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     both = docs.withColumn("__key", doc_key(id_col, text_col))
-    own = ranges.select(F.col("key").alias("__key"), F.col("text_digest").alias("__d"), F.col("ranges").alias("__ranges"))
+    own = ranges[0].select(F.col("key").alias("__key"), F.col("text_digest").alias("__d"), F.col("ranges").alias("__ranges"))
     # a text is known by its key and its digest: texts that share an id keep apart
-    return id_bound_join(both.withColumn("__d", F.unhex(F.sha2(text, 256))), own, ["__key", "__d"], "left")
+    return id_bound_join(both.withColumn("__d", F.unhex(F.sha2(text, 256))), own, ranges[1], ["__key", "__d"], "left")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,7 +415,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     ranges = repeated_ranges(docs.select(id_col, text_col), length, id_col=id_col, text_col=text_col)
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             texts, found = batch.column("__t").to_pylist(), batch.column("__r").to_pylist()
             out = []
             for t, r in zip(texts, found, strict=True):
@@ -392,7 +439,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     ranges = repeated_ranges(docs.select(id_col, text_col), length, id_col=id_col, text_col=text_col)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             out = []
             for t, r in zip(batch.column("t").to_pylist(), batch.column("r").to_pylist(), strict=True):
                 data, r = (t or "").encode(), r or []
