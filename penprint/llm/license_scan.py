@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, kept
+from .common import dropped, kept, lots
 
 THRESHOLD, MOSTLY = 0.55, 0.5
 #: Directories with a licence above this many are joined by shuffle.
@@ -111,10 +111,9 @@ def scan_text(index: Templates, text: str, threshold: float) -> tuple[str | None
     return (best[1], round(best[0], 6), min(1.0, inside / max(1, total))) if best else (None, None, 0.0)
 
 
-def _directory(path: Column) -> Column:
-    """The directory of a path, parts joined by ``/``; the root is empty."""
-    parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: (x != "") & (x != "."))
-    return parts
+def path_parts(path: Column) -> Column:
+    """The parts of a path, without empty ones and ``.``."""
+    return F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: (x != "") & (x != "."))
 
 
 def scan_licenses(files: DataFrame, templates: dict | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -127,7 +126,7 @@ def scan_licenses(files: DataFrame, templates: dict | None = None, threshold: fl
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Templates(table)
-        for batch in batches:
+        for batch in lots(batches):
             out = []
             for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 license_id, score, share = scan_text(index, text or "", threshold)
@@ -135,15 +134,15 @@ def scan_licenses(files: DataFrame, templates: dict | None = None, threshold: fl
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "path", "dir")), pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.float64()), pa.array(list(cols[2]), pa.bool_())], ["doc_id", "path", "dir", "license", "score", "speaks"])
 
-    parts = _directory(F.col(path_col).cast("string"))
+    parts = path_parts(F.col(path_col).cast("string"))
     kind = files.schema[id_col].dataType.simpleString()
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), parts.alias("parts"), F.col(text_col).cast("string").alias("text"))
     last = F.try_element_at("parts", F.lit(-1))
     rows = rows.select("doc_id", "path", F.array_join(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), "/").alias("dir"), last.alias("name"), "text")
     own, own_path = kept(rows.mapInArrow(scanned, f"doc_id {kind}, path string, dir string, license string, score double, speaks boolean"))
-    speaking = own.where("speaks").groupBy("dir").agg(F.max_by(F.struct("license", "score"), F.struct("score", F.expr("-hash(license)"))).alias("s"), F.max("score").alias("top"))
-    # of equal scores the least licence
-    speaking = own.where("speaks").join(speaking.select("dir", "top"), "dir").where("score = top").groupBy("dir").agg(F.min("license").alias("d_license"), F.max("score").alias("d_score"))
+    # the best score, of equal scores the least licence
+    speaking = own.where("speaks").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("worse"), "license")).alias("s"))
+    speaking = speaking.select("dir", F.col("s.license").alias("d_license"), (-F.col("s.worse")).alias("d_score"))
     speaking, speaking_path = kept(speaking)
     # each directory once, with all its ancestors; the deepest that speaks
     dirs = own.select("dir").distinct().withColumn("p", F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/")))

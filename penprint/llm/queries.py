@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, minhash, mixing, suffix_dedup, topk, url_filter
+from . import bpe, chat, embed_dedup, license_scan, minhash, mixing, quality, suffix_dedup, topk, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +36,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie at ``source/lang/doc_id.txt``, so a document that is mostly licence speaks for its source and language."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "evidence", "site", "quality", "accepted")
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
@@ -50,7 +62,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(rows.unionByName(more)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_mix_sources, op3_embed_dedup, op4_byte_bpe, op5_suffix_dedup, op8_order_minhash, op9_exact_topk, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_mix_sources, op3_embed_dedup, op4_byte_bpe, op5_suffix_dedup, op6_license_scan, op7_quality_classifier, op8_order_minhash, op9_exact_topk, op10_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_topk": r"""
