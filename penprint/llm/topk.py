@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, kept
 
-PAGE, QUERIES, NODE, FANOUT = 4_096, 8_192, 32, 8
+PAGE, QUERIES, NODE, FANOUT = 16_384, 8_192, 512, 16
 
 
 class MTree:
@@ -80,52 +80,83 @@ class MTree:
 
     def search(self, q: np.ndarray, k: int, own: int | None = None) -> list[tuple[int, int]]:
         """``(score, id)`` of the best k, best first."""
-        if self.top < 0:
+        return self.search_all(q[None, :], k, None if own is None else np.array([own]))[0]
+
+    def search_all(self, qs: np.ndarray, k: int, own: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+        """The same for many queries, each best first on its own; those that ask for one node in the same step share its reading."""
+        n = len(qs)
+        best: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # heaps of (score, -id), worst first
+        if self.top >= 0:
+            qf = qs.astype(np.float64)
+            q1 = np.hstack([qf, np.zeros((n, 1))])
+            whole = (qf * qf).sum(axis=1) + self.reach
+            slack = 1e-6 * (1.0 + np.sqrt(whole))
+            small = self.most * float(np.abs(qf).max(initial=0.0)) * max(1, qf.shape[1]) < 2.0 ** 52
+            bound, least = np.full(n, np.inf), np.full(n, -np.inf)
+            root = np.sqrt(((self.y[0] - q1) ** 2).sum(axis=1))
+            heaps = [[(0.0, self.top, d)] for d in root.tolist()]
+            active = list(range(n))
+            while active:
+                wanted: dict[int, list[tuple[int, float]]] = {}
+                for i in active:
+                    if heaps[i]:
+                        low, at, d_up = heapq.heappop(heaps[i])
+                        if low <= bound[i]:
+                            wanted.setdefault(at, []).append((i, d_up))
+                active = [i for asked in wanted.values() for i, _ in asked]
+                for at, asked in wanted.items():
+                    who, up = np.array([i for i, _ in asked]), np.array([d for _, d in asked])
+                    if self.nodes[at][0] is not None:
+                        self._descend(at, who, up, q1, bound, heaps)
+                        continue
+                    for i in self._compare(at, who, up, qf if small else None, qs, bound, least, own, best, k):
+                        if len(best[i]) == k:
+                            least[i] = best[i][0][0]
+                            bound[i] = max(0.0, whole[i] - 2.0 * best[i][0][0]) ** 0.5 + slack[i]
+        return [[(s, -i) for s, i in sorted(b, reverse=True)] for b in best]
+
+    def _descend(self, at: int, who: np.ndarray, up: np.ndarray, q1: np.ndarray, bound: np.ndarray, heaps: list) -> None:
+        """Children that may hold something better go on the queries' heaps; stored distances spare the computing of others."""
+        kids, routing, radii, parent = self.nodes[at]
+        for c in range(len(kids)):
+            may = np.flatnonzero(np.abs(up - parent[c]) - radii[c] <= bound[who])
+            self.computed += len(may)
+            d = np.sqrt(((self.y[routing[c]] - q1[who[may]]) ** 2).sum(axis=1))
+            low = np.maximum(0.0, d - radii[c])
+            for i, x, y in zip(who[may].tolist(), low.tolist(), d.tolist(), strict=True):
+                if x <= bound[i]:
+                    heapq.heappush(heaps[i], (x, int(kids[c]), y))
+
+    def _compare(self, at: int, who: np.ndarray, up: np.ndarray, qf: np.ndarray | None, qs: np.ndarray, bound: np.ndarray, least: np.ndarray, own: np.ndarray | None, best: list, k: int) -> list[int]:
+        """Scores of a leaf's rows; returns the queries whose best k have changed."""
+        _, rows, dist = self.nodes[at]
+        near = np.zeros(len(rows), bool)
+        for lo in range(0, len(who), 1_024):
+            near |= (np.abs(up[lo:lo + 1_024, None] - dist[None, :]) <= bound[who[lo:lo + 1_024], None]).any(axis=0)
+        rows = rows[near]
+        self.computed += len(rows) * len(who)
+        if not len(rows):
             return []
-        qf = q.astype(np.float64)
-        qq = float(qf @ qf)
-        q1 = np.append(qf, 0.0)
-        whole = qq + self.reach
-        slack = 1e-6 * (1.0 + whole ** 0.5)
-        small = self.most * float(np.abs(qf).max(initial=0.0)) * max(1, len(qf)) < 2.0 ** 52
-        best: list[tuple[int, int]] = []  # a heap of (score, -id), worst first
-        bound = float("inf")
-        root = float(np.sqrt(((self.y[0] - q1) ** 2).sum()))
-        heap = [(0.0, self.top, root)]
-        while heap:
-            low, at, d_up = heapq.heappop(heap)
-            if low > bound:
-                break
-            node = self.nodes[at]
-            if node[0] is None:
-                _, rows, dist = node
-                rows = rows[np.abs(d_up - dist) <= bound]
-                if own is not None and len(rows):
-                    rows = rows[self.ids[rows] != own]
-                self.computed += len(rows)
-                if not len(rows):
-                    continue
-                scores = (self.x[rows] @ qf) if small else [sum(int(a) * int(b) for a, b in zip(self.exact[r], q, strict=True)) for r in rows]
-                for s, i in zip(scores, self.ids[rows].tolist(), strict=True):
-                    item = (int(s), -i)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-                if len(best) == k:
-                    bound = max(0.0, whole - 2.0 * best[0][0]) ** 0.5 + slack
-            else:
-                kids, routing, radii, up = node
-                may = np.flatnonzero(np.abs(d_up - up) - radii <= bound)
-                if not len(may):
-                    continue
-                self.computed += len(may)
-                d = np.sqrt(((self.y[routing[may]] - q1) ** 2).sum(axis=1))
-                for c, dc in zip(may.tolist(), d.tolist(), strict=True):
-                    low = max(0.0, dc - radii[c])
-                    if low <= bound:
-                        heapq.heappush(heap, (low, int(kids[c]), dc))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        ids, changed = self.ids[rows], []
+        x = self.x[rows]
+        for lo in range(0, len(who), 1_024):
+            part = who[lo:lo + 1_024]
+            scores = qf[part] @ x.T if qf is not None else np.array([[sum(int(a) * int(b) for a, b in zip(self.exact[r], qs[i], strict=True)) for r in rows] for i in part], object)
+            mine = ids[None, :] == own[part, None] if own is not None else np.zeros((len(part), len(rows)), bool)
+            # only rows that may enter the best k are looked at one by one; equal scores stay in
+            for g in np.flatnonzero(((scores >= least[part, None]) & ~mine).any(axis=1)).tolist():
+                i = int(part[g])
+                cand = np.flatnonzero(~mine[g])
+                row = scores[g][cand]
+                floor = least[i] if len(row) <= k else max(least[i], np.partition(row, -k)[-k])
+                for j in cand[row >= floor].tolist():
+                    item = (int(scores[g][j]), -int(ids[j]))
+                    if len(best[i]) < k:
+                        heapq.heappush(best[i], item)
+                    elif item > best[i][0]:
+                        heapq.heapreplace(best[i], item)
+                changed.append(i)
+        return changed
 
 
 def _table(t: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +185,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
             x, ids = _table(own, size)
             tree = MTree(x, ids)
             q, q_ids = _table(asked, size)
-            for one, i in zip(q, q_ids.tolist(), strict=True):
-                out.extend((i, other, score) for score, other in tree.search(one, k, i))
+            for i, found_here in zip(q_ids.tolist(), tree.search_all(q, k, q_ids), strict=True):
+                out.extend((i, other, score) for score, other in found_here)
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table({c: pa.array(list(x), pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), cols, strict=True)})
 
