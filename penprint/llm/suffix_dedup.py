@@ -8,7 +8,7 @@
 3. *Sorting.* What is left, the ends of repeats, is sorted as suffixes that start at cores, and as prefixes read back
    from them, by deep-shallow sorting: multikey quicksort to a shallow depth, then a blind trie for each group whose
    common prefix goes deeper. In these two orders the strings that share a window lie side by side: for each offset,
-   ranks at the two match lengths tell which windows occur twice. Bytes are compared, not hashes.
+   ranks at the two match lengths tell which windows occur twice. The core itself is compared by a 128-bit digest.
    A core with very many different outer strings goes another exact way: its half is cut in parts, each with a longer core
    and a shorter outer string, which are counted in the same way; of what is left the windows' 128-bit digests are counted.
 4. *Removal.* A document's covered ranges are merged and cut out.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_key, dropped, id_bound_join, kept, lots, partitions_for
@@ -35,8 +35,8 @@ from .common import doc_key, dropped, id_bound_join, kept, lots, partitions_for
 LENGTH, GRAM = 400, 32
 #: Bytes that multikey quicksort looks at, different outer strings of a core that are sorted in one task, strings in a task.
 SHALLOW, MOST_OUTER, EACH = 32, 1_000, 6_000
-#: Parts of a hot core's half.
-PARTS = 8
+#: Parts of a hot core's half; bytes of a digest.
+PARTS, DIGEST = 8, 16
 _P = 0x9E3779B97F4A7C15
 
 
@@ -194,9 +194,9 @@ def deep_shallow_order(strings: list[bytes], shallow: int = SHALLOW) -> list[int
     return out
 
 
-def repeated_range(cores: np.ndarray, left: list[bytes], right: list[bytes], weight: np.ndarray, core_size: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_range(left: list[bytes], right: list[bytes], weight: np.ndarray, core_size: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     """For each string the least and greatest ``t`` so that ``t`` bytes to the left and ``span - t`` to the right of its
-    core occur twice, -1 if there is none. ``left`` is read backwards, ``right`` begins with the core."""
+    core occur twice, -1 if there is none. ``left`` is read backwards, ``right`` begins with what stands for the core."""
     n = len(left)
     r_order, l_order = np.array(deep_shallow_order(right)), np.array(deep_shallow_order(left))
     near = lambda strings, order: np.array([0, *(lcp(strings[a], strings[b]) for a, b in zip(order[:-1], order[1:], strict=True))], np.int64)
@@ -229,7 +229,7 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
         if not part.num_rows:
             continue
         left, right = part.column("left").to_pylist(), part.column("right").to_pylist()
-        least, most = repeated_range(part.column("core").to_numpy(), left, right, part.column("weight").to_numpy(), length - (b - a), b - a)
+        least, most = repeated_range(left, right, part.column("weight").to_numpy(), DIGEST, b - a)
         at = np.flatnonzero(least >= 0)
         pos = part.column("pos").to_numpy()[at].astype(np.int64)
         hit = part.select(["k", "digest"]).take(pa.array(at)).combine_chunks()
@@ -237,22 +237,24 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The strings around the anchors asked for: to the left of the core backwards, and from the core on."""
+    """The strings around the anchors asked for: to the left of the core backwards, and the core's digest with what follows the core."""
+    from xxhash import xxh3_128_digest
+
     parts = halves(length, k)
     for batch in lots(batches):
-        out: dict[str, list] = {c: [] for c in ("k", "digest", "pos", "half", "core", "weight", "hot", "left", "right")}
+        out: dict[str, list] = {c: [] for c in ("k", "digest", "pos", "half", "core", "weight", "left", "right")}
         for key, digest, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "text", "spots")), strict=True):
             data = (text or "").encode()
             for s in spots:
                 a, b = parts[s["half"]]
-                lo = s["pos"] - a
-                for c in ("pos", "half", "core", "weight", "hot"):
+                lo, hi = s["pos"] - a, s["pos"] - b + length
+                for c in ("pos", "half", "core", "weight"):
                     out[c].append(s[c])
                 out["k"].append(key)
                 out["digest"].append(digest)
                 out["left"].append(data[max(0, s["pos"] - b):lo][::-1])
-                out["right"].append(data[lo:s["pos"] - a + length])
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                out["right"].append(xxh3_128_digest(data[lo:hi]) + data[hi:s["pos"] - a + length])
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], list(out))
 
 
@@ -263,20 +265,22 @@ def _narrowed(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
     halved = halves(length, k)
     for batch in lots(batches):
         out: list[tuple] = []
-        for key, digest, pos, half, weight, left, right in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "pos", "half", "weight", "left", "right")), strict=True):
-            a, b = halved[half]
-            whole, first = left[::-1] + right, pos - a - len(left)  # whole[i] stands at first + i
-            step = -(-(b - a + 1) // PARTS)
-            for x in range(a, b + 1, step):
-                y = min(b, x + step - 1)
-                lo, hi = pos - x - first, pos - y + length - first
-                if lo < 0 or hi > len(whole):
-                    continue
-                start, end = max(0, pos - y - first), min(len(whole), pos - x + length - first)
-                out.append((xxh3_128_digest(whole[lo:hi], x), xxh3_128_digest(whole[start:end], (lo - start) * 1_000 + end - hi), key, digest, weight, first + start, first + end - length, whole[start:end]))
+        for key, digest, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "text", "spots")), strict=True):
+            data = (text or "").encode()
+            n = len(data)
+            for s in spots:
+                pos, (a, b) = s["pos"], halved[s["half"]]
+                step = -(-(b - a + 1) // PARTS)
+                for x in range(a, b + 1, step):
+                    y = min(b, x + step - 1)
+                    lo, hi = pos - x, pos - y + length
+                    if lo < 0 or hi > n:
+                        continue
+                    start, end = max(0, pos - y), min(n, pos - x + length)
+                    out.append((xxh3_128_digest(data[lo:hi], x), xxh3_128_digest(data[start:end], (lo - start) * 1_000 + end - hi), key, digest, s["weight"], start, end - length))
         if out:
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["core", "outer", "k", "digest", "weight", "start", "last", "piece"])
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["core", "outer", "k", "digest", "weight", "start", "last"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -285,35 +289,43 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
     for batch in lots(batches):
         out: list[tuple] = []
-        for key, digest, weight, start, piece in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "weight", "start", "piece")), strict=True):
-            out.extend((xxh3_128_digest(piece[i:i + length]), key, digest, start + i, weight) for i in range(len(piece) - length + 1))
+        for key, digest, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "text", "spots")), strict=True):
+            data = (text or "").encode()
+            # one place may lie in several parts
+            weight: dict[int, int] = {}
+            for s in spots:
+                for i in range(s["start"], s["last"] + 1):
+                    weight[i] = max(weight.get(i, 0), s["weight"])
+            out.extend((xxh3_128_digest(data[i:i + length]), key, digest, i, w) for i, w in weight.items())
         if out:
             kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["window", "k", "digest", "start", "weight"])
 
 
-def _hot_ends(hot: DataFrame, length: int, k: int, paths: list[str]) -> DataFrame:
+def _texts_of(base: DataFrame, wanted: DataFrame, fields: list[str], paths: list[str]) -> DataFrame:
+    """``k, digest, text, spots`` of the texts that ``wanted`` has rows of."""
+    asked, path = kept(wanted.groupBy("k", "digest").agg(F.collect_list(F.struct(*fields)).alias("spots")))
+    paths.append(path)
+    return id_bound_join(base, asked, path, ["k", "digest"]).select("k", "digest", "text", "spots")
+
+
+def _hot_ends(base: DataFrame, hot: DataFrame, length: int, k: int, paths: list[str]) -> DataFrame:
     """``k, digest, start, end`` of the repeats around anchors of hot cores; written tables are added to ``paths``."""
     def written(df: DataFrame) -> DataFrame:
         out, path = kept(df)
         paths.append(path)
         return out
 
-    parts = written(hot.mapInArrow(lambda b: _narrowed(b, length, k), "core binary, outer binary, k long, digest binary, weight long, start long, last long, piece binary"))
-    slim = parts.drop("piece")
-    cores = written(slim.groupBy("core").agg(F.sum("weight").alias("times")).where("times >= 2").select("core"))
-    outers = written(slim.groupBy("core", "outer").agg(F.sum("weight").alias("times")))
-    twice = outers.where("times >= 2").select("core", "outer")
-    settled = slim.join(twice, ["core", "outer"], "left_semi").select("k", "digest", "start", (F.col("last") + length).alias("end"))
-    once = outers.where("times < 2").join(cores, "core", "left_semi").select("core", "outer")
-    # of equal outer strings one stands for all against those that are met once
-    mixed = written(once.select("core").distinct())
-    ones = parts.join(once.select("outer"), "outer", "left_semi").select("outer", "k", "digest", "weight", "start", "piece")
-    others = parts.join(twice, ["core", "outer"], "left_semi").join(mixed, "core", "left_semi").groupBy("outer").agg(F.min(F.struct("k", "digest", "start", "piece")).alias("p"))
-    others = others.select("outer", "p.k", "p.digest", F.lit(2).cast("long").alias("weight"), "p.start", "p.piece")
-    windows = written(ones.unionByName(others).mapInArrow(lambda b: _windows(b, length), "window binary, k long, digest binary, start long, weight long"))
-    # one place may come from several anchors, so a window repeats if it has two different places or stands for two
-    place = F.struct("k", "digest", "start")
+    texts = _texts_of(base, hot, ["pos", "half", "weight"], paths)
+    parts = written(texts.mapInArrow(lambda b: _narrowed(b, length, k), "core binary, outer binary, k long, digest binary, weight long, start long, last long"))
+    outers = written(parts.groupBy("core", "outer").agg(F.sum("weight").alias("times"), F.min(F.struct("k", "digest", "start", "last")).alias("at")))
+    settled = parts.join(outers.where("times >= 2").select("core", "outer"), ["core", "outer"], "left_semi").select("k", "digest", "start", (F.col("last") + length).alias("end"))
+    # cores with different outer strings, one of them at least met once; of equal outer strings one stands for all
+    open_cores = written(outers.groupBy("core").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds >= 2 and least < 2").select("core"))
+    left = outers.join(open_cores, "core").select(F.least("times", F.lit(2).cast("long")).alias("weight"), "at.*")
+    windows = written(_texts_of(base, left, ["start", "last", "weight"], paths).mapInArrow(lambda b: _windows(b, length), "window binary, k long, digest binary, start long, weight long"))
+    # a window repeats if it has two different places or stands for two
+    place = F.xxhash64("k", "digest", "start")
     again = written(windows.groupBy("window").agg(F.max("weight").alias("w"), F.min(place).alias("a"), F.max(place).alias("b")).where("w >= 2 or a <> b").select("window"))
     found = windows.where("weight < 2").join(again, "window", "left_semi").select("k", "digest", "start", (F.col("start") + length).alias("end"))
     return settled.unionByName(found)
@@ -322,6 +334,11 @@ def _hot_ends(hot: DataFrame, length: int, k: int, paths: list[str]) -> DataFram
 # --- removal
 
 
+def _digest(text: Column) -> Column:
+    """128 bits of a text's SHA-256: they tell texts apart in every table."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, DIGEST)
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs; ranges that touch are one."""
     out: list[list[int]] = []
@@ -358,7 +375,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col
     """``key, text_digest, ranges`` for the texts that lose bytes: their merged byte ranges, sorted; and where it is written."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(doc_key(id_col, text_col).alias("k"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    base = docs.select(doc_key(id_col, text_col).alias("k"), _digest(text).alias("digest"), text.alias("text"))
     spot = "array<struct<pos:int,half:tinyint,core:bigint,outer:binary>>"
     found, found_path = kept(base.where(F.octet_length("text") >= length).mapInArrow(lambda b: _anchored(b, length, k), f"k long, digest binary, size long, spots {spot}"))
     # One text for all its exact copies; copies lose everything. A row that repeats has copies, so it weighs 2 as it is.
@@ -366,7 +383,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col
     copies = found.groupBy("digest").agg(F.min("k").alias("rep"), F.count("*").alias("n"))
     copies, copies_path = kept(copies)
     reps = found.join(copies.withColumnRenamed("rep", "k"), ["k", "digest"])
-    spots = reps.select("k", "digest", F.least("n", F.lit(2)).alias("weight"), F.explode("spots").alias("s")).select("k", "digest", "weight", "s.*")
+    spots = reps.select("k", "digest", F.least("n", F.lit(2).cast("long")).alias("weight"), F.explode("spots").alias("s")).select("k", "digest", "weight", "s.*")
     spots, spots_path = kept(spots)
     cores = spots.groupBy("core").agg(F.sum("weight").alias("times")).where("times >= 2").select("core")
     cores, cores_path = kept(cores)
@@ -381,25 +398,21 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col
     # the ends of repeats: cores with different outer strings, one of them at least met once
     groups = outers.groupBy("core").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("kinds >= 2 and least < 2")
     groups, groups_path = kept(groups)
-    wanted = outers.join(groups, "core").select("core", F.least("weight", F.lit(2)).alias("weight"), (F.col("kinds") > MOST_OUTER).alias("hot"), "at.*")
-    asked, asked_path = kept(wanted.groupBy("k", "digest").agg(F.collect_list(F.struct("pos", "half", "core", "weight", "hot")).alias("spots")))
-    texts = id_bound_join(base, asked, asked_path, ["k", "digest"]).select("k", "digest", "text", "spots")
-    slices = texts.mapInArrow(lambda b: _sliced(b, length, k), "k long, digest binary, pos int, half tinyint, core long, weight long, hot boolean, left binary, right binary")
-    slices, slices_path = kept(slices)
-    n = slices.where("not hot").count()
-    spread = slices.where("not hot").repartition(partitions_for(spark, n, EACH), "core")
-    ends = spread.mapInArrow(lambda b: _sorted_ranges(b, length, k), "k long, digest binary, start long, end long")
+    wanted, wanted_path = kept(outers.join(groups, "core").select("core", F.least("weight", F.lit(2).cast("long")).alias("weight"), (F.col("kinds") > MOST_OUTER).alias("hot"), "at.*"))
     more: list[str] = []
-    if not slices.where("hot").isEmpty():
-        ends = ends.unionByName(_hot_ends(slices.where("hot"), length, k, more))
+    n = wanted.where("not hot").count()
+    slices = _texts_of(base, wanted.where("not hot"), ["pos", "half", "core", "weight"], more).mapInArrow(lambda b: _sliced(b, length, k), "k long, digest binary, pos int, half tinyint, core long, weight long, left binary, right binary")
+    ends = slices.repartition(partitions_for(spark, n, EACH), "core").mapInArrow(lambda b: _sorted_ranges(b, length, k), "k long, digest binary, start long, end long")
+    if not wanted.where("hot").isEmpty():
+        ends = ends.unionByName(_hot_ends(base, wanted.where("hot"), length, k, more))
     whole = found.join(copies.where("n >= 2").select("digest"), "digest").select("k", "digest", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
     every = settled.unionByName(ends).unionByName(whole)
     size = found.select("k", "digest", "size").distinct()
-    union = F.udf(lambda r: [list(x) for x in merged([(a["start"], a["end"]) for a in r])], "array<array<long>>")
+    union = F.udf(lambda r: [list(x) for x in merged([(a["start"], a["end"]) for a in r])], "array<array<long>>", useArrow=True)
     out = every.groupBy("k", "digest").agg(F.collect_set(F.struct("start", "end")).alias("r")).join(size, ["k", "digest"])
     clipped = F.transform("r", lambda x: F.struct(x["start"].alias("start"), F.least(x["end"], F.col("size")).alias("end")))
     out, out_path = kept(out.select(F.col("k").alias("key"), F.col("digest").alias("text_digest"), union(clipped).alias("ranges")))
-    dropped(spark, *(p for p in (found_path, copies_path, spots_path, cores_path, live_path, outers_path, groups_path, asked_path, slices_path, *more) if p))
+    dropped(spark, *(p for p in (found_path, copies_path, spots_path, cores_path, live_path, outers_path, groups_path, wanted_path, *more) if p))
     return out, out_path
 
 
@@ -408,7 +421,7 @@ def _with_ranges(docs: DataFrame, ranges: tuple[DataFrame, str], id_col: str, te
     both = docs.withColumn("__key", doc_key(id_col, text_col))
     own = ranges[0].select(F.col("key").alias("__key"), F.col("text_digest").alias("__d"), F.col("ranges").alias("__ranges"))
     # a text is known by its key and its digest: texts that share an id keep apart
-    return id_bound_join(both.withColumn("__d", F.unhex(F.sha2(text, 256))), own, ranges[1], ["__key", "__d"], "left")
+    return id_bound_join(both.withColumn("__d", _digest(text)), own, ranges[1], ["__key", "__d"], "left")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
