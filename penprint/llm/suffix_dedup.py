@@ -81,16 +81,15 @@ def halves(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+    """A row for each anchor and half: its place, and 64-bit hashes of core and outer string."""
+    from xxhash import xxh3_64_intdigest
 
     parts = halves(length, k)
     for batch in lots(batches):
-        sizes, ends = [], [0]
-        places, of_half, cores, outers = [], [], [], []
+        counts, places, of_half, cores, outers = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             data = (text or "").encode()
-            n = len(data)
-            sizes.append(n)
+            n, before = len(data), len(places)
             for m in anchors(data, length, k).tolist():
                 for half, (a, b) in enumerate(parts):
                     lo, hi = m - a, m - b + length
@@ -101,10 +100,11 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
                     of_half.append(half)
                     cores.append(xxh3_64_intdigest(data[lo:hi], half))
                     # where the text cuts it short, an outer string equals only those that are cut alike
-                    outers.append(xxh3_128_digest(data[start:end], (lo - start) * 1_000 + end - hi))
-            ends.append(len(places))
-        spot = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(of_half, pa.int8()), pa.array(np.array(cores, np.uint64).view(np.int64)), pa.array(outers, pa.binary())], ["pos", "half", "core", "outer"])
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spot)], ["k", "digest", "size", "spots"])
+                    outers.append(xxh3_64_intdigest(data[start:end], (lo - start) * 1_000 + end - hi + 1_000_000))
+            counts.append(len(places) - before)
+        at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cores, outers)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("k", "mark", "weight")), pa.array(places, pa.int32()), pa.array(of_half, pa.int8()), *hashes], ["k", "mark", "weight", "pos", "half", "core", "outer"])
 
 
 # --- deep-shallow sorting
@@ -232,8 +232,8 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch], length: int, k: int) -> It
         least, most = repeated_range(left, right, part.column("weight").to_numpy(), DIGEST, b - a)
         at = np.flatnonzero(least >= 0)
         pos = part.column("pos").to_numpy()[at].astype(np.int64)
-        hit = part.select(["k", "digest"]).take(pa.array(at)).combine_chunks()
-        yield pa.RecordBatch.from_arrays([*(hit.column(c).combine_chunks() if hit.num_rows else pa.array([], hit.schema.field(c).type) for c in ("k", "digest")), pa.array(pos - a - most[at]), pa.array(pos - a - least[at] + length)], ["k", "digest", "start", "end"])
+        hit = part.select(["k", "mark"]).take(pa.array(at)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(hit.column(c).combine_chunks() if hit.num_rows else pa.array([], hit.schema.field(c).type) for c in ("k", "mark")), pa.array(pos - a - most[at]), pa.array(pos - a - least[at] + length)], ["k", "mark", "start", "end"])
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -242,8 +242,8 @@ def _sliced(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
 
     parts = halves(length, k)
     for batch in lots(batches):
-        out: dict[str, list] = {c: [] for c in ("k", "digest", "pos", "half", "core", "weight", "left", "right")}
-        for key, digest, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "text", "spots")), strict=True):
+        out: dict[str, list] = {c: [] for c in ("k", "mark", "pos", "half", "core", "weight", "left", "right")}
+        for key, mark, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "mark", "text", "spots")), strict=True):
             data = (text or "").encode()
             for s in spots:
                 a, b = parts[s["half"]]
@@ -251,13 +251,29 @@ def _sliced(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[
                 for c in ("pos", "half", "core", "weight"):
                     out[c].append(s[c])
                 out["k"].append(key)
-                out["digest"].append(digest)
+                out["mark"].append(mark)
                 out["left"].append(data[max(0, s["pos"] - b):lo][::-1])
                 out["right"].append(xxh3_128_digest(data[lo:hi]) + data[hi:s["pos"] - a + length])
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int64(), pa.int8(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], list(out))
 
 
+def _strips(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """For each anchor of a hot core the stretch of text that holds all windows of its half, and where that begins."""
+    parts = halves(length, k)
+    for batch in lots(batches):
+        out: list[tuple] = []
+        for key, mark, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "mark", "text", "spots")), strict=True):
+            data = (text or "").encode()
+            for s in spots:
+                a, b = parts[s["half"]]
+                first = max(0, s["pos"] - b)
+                out.append((key, mark, s["pos"], s["half"], s["weight"], first, data[first:s["pos"] - a + length]))
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int8(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["k", "mark", "pos", "half", "weight", "first", "strip"])
+
+
 def _narrowed(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """Each half of a hot core in :data:`PARTS` parts: ``core`` and ``outer`` digests, and the windows' first and last start."""
     from xxhash import xxh3_128_digest
@@ -265,22 +281,19 @@ def _narrowed(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
     halved = halves(length, k)
     for batch in lots(batches):
         out: list[tuple] = []
-        for key, digest, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "text", "spots")), strict=True):
-            data = (text or "").encode()
-            n = len(data)
-            for s in spots:
-                pos, (a, b) = s["pos"], halved[s["half"]]
-                step = -(-(b - a + 1) // PARTS)
-                for x in range(a, b + 1, step):
-                    y = min(b, x + step - 1)
-                    lo, hi = pos - x, pos - y + length
-                    if lo < 0 or hi > n:
-                        continue
-                    start, end = max(0, pos - y), min(n, pos - x + length)
-                    out.append((xxh3_128_digest(data[lo:hi], x), xxh3_128_digest(data[start:end], (lo - start) * 1_000 + end - hi), key, digest, s["weight"], start, end - length))
+        for key, mark, pos, half, weight, first, data in zip(*(batch.column(c).to_pylist() for c in ("k", "mark", "pos", "half", "weight", "first", "strip")), strict=True):
+            (a, b), n, at = halved[half], len(data), pos - first
+            step = -(-(b - a + 1) // PARTS)
+            for x in range(a, b + 1, step):
+                y = min(b, x + step - 1)
+                lo, hi = at - x, at - y + length
+                if lo < 0 or hi > n:
+                    continue
+                start, end = max(0, at - y), min(n, at - x + length)
+                out.append((xxh3_128_digest(data[lo:hi], x), xxh3_128_digest(data[start:end], (lo - start) * 1_000 + end - hi), key, mark, pos, half, weight, first + start, first + end - length))
         if out:
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["core", "outer", "k", "digest", "weight", "start", "last"])
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int8(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["core", "outer", "k", "mark", "pos", "half", "weight", "start", "last"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -289,45 +302,37 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
     for batch in lots(batches):
         out: list[tuple] = []
-        for key, digest, text, spots in zip(*(batch.column(c).to_pylist() for c in ("k", "digest", "text", "spots")), strict=True):
-            data = (text or "").encode()
-            # one place may lie in several parts
+        for key, mark, first, data, parts in zip(*(batch.column(c).to_pylist() for c in ("k", "mark", "first", "strip", "parts")), strict=True):
             weight: dict[int, int] = {}
-            for s in spots:
-                for i in range(s["start"], s["last"] + 1):
+            for s in parts:
+                for i in range(s["start"] - first, s["last"] - first + 1):
                     weight[i] = max(weight.get(i, 0), s["weight"])
-            out.extend((xxh3_128_digest(data[i:i + length]), key, digest, i, w) for i, w in weight.items())
+            out.extend((xxh3_128_digest(data[i:i + length]), key, mark, first + i, w) for i, w in weight.items())
         if out:
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["window", "k", "digest", "start", "weight"])
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int8())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["window", "k", "mark", "start", "weight"])
 
 
-def _texts_of(base: DataFrame, wanted: DataFrame, fields: list[str], paths: list[str]) -> DataFrame:
-    """``k, digest, text, spots`` of the texts that ``wanted`` has rows of."""
-    asked, path = kept(wanted.groupBy("k", "digest").agg(F.collect_list(F.struct(*fields)).alias("spots")))
-    paths.append(path)
-    return id_bound_join(base, asked, path, ["k", "digest"]).select("k", "digest", "text", "spots")
-
-
-def _hot_ends(base: DataFrame, hot: DataFrame, length: int, k: int, paths: list[str]) -> DataFrame:
-    """``k, digest, start, end`` of the repeats around anchors of hot cores; written tables are added to ``paths``."""
+def _hot_ends(strips: DataFrame, length: int, k: int, paths: list[str]) -> DataFrame:
+    """``k, mark, start, end`` of the repeats around anchors of hot cores; written tables are added to ``paths``."""
     def written(df: DataFrame) -> DataFrame:
         out, path = kept(df)
         paths.append(path)
         return out
 
-    texts = _texts_of(base, hot, ["pos", "half", "weight"], paths)
-    parts = written(texts.mapInArrow(lambda b: _narrowed(b, length, k), "core binary, outer binary, k long, digest binary, weight long, start long, last long"))
-    outers = written(parts.groupBy("core", "outer").agg(F.sum("weight").alias("times"), F.min(F.struct("k", "digest", "start", "last")).alias("at")))
-    settled = parts.join(outers.where("times >= 2").select("core", "outer"), ["core", "outer"], "left_semi").select("k", "digest", "start", (F.col("last") + length).alias("end"))
+    parts = written(strips.mapInArrow(lambda b: _narrowed(b, length, k), "core binary, outer binary, k long, mark long, pos int, half tinyint, weight tinyint, start long, last long"))
+    outers = written(parts.groupBy("core", "outer").agg(F.sum("weight").alias("times"), F.min(F.struct("k", "mark", "pos", "half", "start", "last")).alias("at")))
+    settled = parts.join(outers.where("times >= 2").select("core", "outer"), ["core", "outer"], "left_semi").select("k", "mark", "start", (F.col("last") + length).alias("end"))
     # cores with different outer strings, one of them at least met once; of equal outer strings one stands for all
     open_cores = written(outers.groupBy("core").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds >= 2 and least < 2").select("core"))
-    left = outers.join(open_cores, "core").select(F.least("times", F.lit(2).cast("long")).alias("weight"), "at.*")
-    windows = written(_texts_of(base, left, ["start", "last", "weight"], paths).mapInArrow(lambda b: _windows(b, length), "window binary, k long, digest binary, start long, weight long"))
-    # a window repeats if it has two different places or stands for two
-    place = F.xxhash64("k", "digest", "start")
+    left = outers.join(open_cores, "core").select(F.least("times", F.lit(2).cast("long")).cast("byte").alias("weight"), "at.*")
+    spot = ["k", "mark", "pos", "half"]
+    left = written(left.groupBy(*spot).agg(F.collect_list(F.struct("start", "last", "weight")).alias("parts")))
+    windows = written(strips.drop("weight").dropDuplicates(spot).join(left, spot).mapInArrow(lambda b: _windows(b, length), "window binary, k long, mark long, start long, weight tinyint"))
+    # a window repeats if it has two different places or stands for two; one place may come from several anchors
+    place = F.xxhash64("k", "mark", "start")
     again = written(windows.groupBy("window").agg(F.max("weight").alias("w"), F.min(place).alias("a"), F.max(place).alias("b")).where("w >= 2 or a <> b").select("window"))
-    found = windows.where("weight < 2").join(again, "window", "left_semi").select("k", "digest", "start", (F.col("start") + length).alias("end"))
+    found = windows.where("weight < 2").join(again, "window", "left_semi").select("k", "mark", "start", (F.col("start") + length).alias("end"))
     return settled.unionByName(found)
 
 
@@ -335,10 +340,15 @@ def _hot_ends(base: DataFrame, hot: DataFrame, length: int, k: int, paths: list[
 
 
 def _digest(text: Column) -> Column:
-    """128 bits of a text's SHA-256: they tell texts apart in every table."""
+    """128 bits of a text's SHA-256, by which exact copies meet."""
     return F.substring(F.unhex(F.sha2(text, 256)), 1, DIGEST)
 
 
+def _mark(text: Column) -> Column:
+    """64 bits that tell apart the texts of one id."""
+    return F.xxhash64(text)
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs; ranges that touch are one."""
     out: list[list[int]] = []
@@ -372,56 +382,63 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """``key, text_digest, ranges`` for the texts that lose bytes: their merged byte ranges, sorted; and where it is written."""
+    """``key, text_mark, ranges`` for the texts that lose bytes: their merged byte ranges, sorted; and where it is written."""
     spark = docs.sparkSession
+    paths: list[str] = []
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        out, path = kept(df)
+        paths.append(path)
+        return out, path
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(doc_key(id_col, text_col).alias("k"), _digest(text).alias("digest"), text.alias("text"))
-    spot = "array<struct<pos:int,half:tinyint,core:bigint,outer:binary>>"
-    found, found_path = kept(base.where(F.octet_length("text") >= length).mapInArrow(lambda b: _anchored(b, length, k), f"k long, digest binary, size long, spots {spot}"))
+    base = docs.select(doc_key(id_col, text_col).alias("k"), _mark(text).alias("mark"), text.alias("text")).where(F.octet_length("text") >= length)
     # One text for all its exact copies; copies lose everything. A row that repeats has copies, so it weighs 2 as it is.
-    # Counts are written before rows meet them in a join: its two sides are then plain exchanges, whose hot keys split.
-    copies = found.groupBy("digest").agg(F.min("k").alias("rep"), F.count("*").alias("n"))
-    copies, copies_path = kept(copies)
-    reps = found.join(copies.withColumnRenamed("rep", "k"), ["k", "digest"])
-    spots = reps.select("k", "digest", F.least("n", F.lit(2).cast("long")).alias("weight"), F.explode("spots").alias("s")).select("k", "digest", "weight", "s.*")
-    spots, spots_path = kept(spots)
-    cores = spots.groupBy("core").agg(F.sum("weight").alias("times")).where("times >= 2").select("core")
-    cores, cores_path = kept(cores)
-    live, live_path = kept(spots.join(cores, "core"))
-    outers = live.groupBy("core", "outer").agg(F.sum("weight").alias("weight"), F.min(F.struct("k", "digest", "pos", "half")).alias("at"))
-    outers, outers_path = kept(outers)
+    sizes, _ = written(base.select("k", "mark", _digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("size")))
+    copies, copies_path = written(sizes.groupBy("digest").agg(F.min("k").alias("rep"), F.count("*").alias("n")).where("n >= 2").select("digest", "rep"))
+    whole = sizes.join(copies.select("digest"), "digest").select("k", "mark", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
+    reps = id_bound_join(base.withColumn("digest", _digest(F.col("text"))), copies, copies_path, "digest", "left").where("rep is null or rep = k")
+    reps = reps.select("k", "mark", F.when(F.col("rep").isNull(), 1).otherwise(2).cast("byte").alias("weight"), "text")
+    spots, _ = written(reps.mapInArrow(lambda b: _anchored(b, length, k), "k long, mark long, weight tinyint, pos int, half tinyint, core long, outer long"))
+    # counts are written before rows meet them in a join: its two sides are then plain exchanges, whose hot keys split
+    cores, _ = written(spots.groupBy("core").agg(F.sum("weight").alias("times")).where("times >= 2").select("core"))
+    live, _ = written(spots.join(cores, "core"))
+    # core and outer string by two hashes of 64 bits: only outer strings of one core could be taken for each other
+    outers, _ = written(live.groupBy("core", "outer").agg(F.sum("weight").alias("weight"), F.min(F.struct("k", "mark", "pos", "half")).alias("at")))
     twice = outers.where("weight >= 2").select("core", "outer")  # one row for each key
     parts = halves(length, k)
     low = F.when(F.col("half") == 0, parts[0][1]).otherwise(parts[1][1])
     high = F.when(F.col("half") == 0, parts[0][0]).otherwise(parts[1][0])
-    settled = live.join(twice, ["core", "outer"], "left_semi").select("k", "digest", F.greatest(F.lit(0), F.col("pos") - low).cast("long").alias("start"), (F.col("pos") - high + length).cast("long").alias("end"))
+    settled = live.join(twice, ["core", "outer"], "left_semi").select("k", "mark", F.greatest(F.lit(0), F.col("pos") - low).cast("long").alias("start"), (F.col("pos") - high + length).cast("long").alias("end"))
     # the ends of repeats: cores with different outer strings, one of them at least met once
-    groups = outers.groupBy("core").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("kinds >= 2 and least < 2")
-    groups, groups_path = kept(groups)
-    wanted, wanted_path = kept(outers.join(groups, "core").select("core", F.least("weight", F.lit(2).cast("long")).alias("weight"), (F.col("kinds") > MOST_OUTER).alias("hot"), "at.*"))
-    more: list[str] = []
-    n = wanted.where("not hot").count()
-    slices = _texts_of(base, wanted.where("not hot"), ["pos", "half", "core", "weight"], more).mapInArrow(lambda b: _sliced(b, length, k), "k long, digest binary, pos int, half tinyint, core long, weight long, left binary, right binary")
-    ends = slices.repartition(partitions_for(spark, n, EACH), "core").mapInArrow(lambda b: _sorted_ranges(b, length, k), "k long, digest binary, start long, end long")
-    if not wanted.where("hot").isEmpty():
-        ends = ends.unionByName(_hot_ends(base, wanted.where("hot"), length, k, more))
-    whole = found.join(copies.where("n >= 2").select("digest"), "digest").select("k", "digest", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
+    groups, _ = written(outers.groupBy("core").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("kinds >= 2 and least < 2"))
+    wanted, _ = written(outers.join(groups, "core").select("core", F.least("weight", F.lit(2).cast("long")).cast("byte").alias("weight"), (F.col("kinds") > MOST_OUTER).alias("hot"), "at.*"))
+    cold, hot = wanted.where("not hot"), wanted.where("hot")
+    asked = cold.groupBy("k", "mark").agg(F.collect_list(F.struct("pos", "half", "core", "weight")).alias("spots"))
+    # rows that repeat weigh 2 already, so strings that they give twice change nothing
+    slices = base.join(asked, ["k", "mark"]).mapInArrow(lambda b: _sliced(b, length, k), "k long, mark long, pos int, half tinyint, core long, weight tinyint, left binary, right binary")
+    ends = slices.repartition(partitions_for(spark, cold.count(), EACH), "core").mapInArrow(lambda b: _sorted_ranges(b, length, k), "k long, mark long, start long, end long")
+    if not hot.isEmpty():
+        asked_hot, hot_path = written(hot.groupBy("k", "mark").agg(F.collect_list(F.struct("pos", "half", "weight")).alias("spots")))
+        strips, _ = written(id_bound_join(base, asked_hot, hot_path, ["k", "mark"]).mapInArrow(lambda b: _strips(b, length, k), "k long, mark long, pos int, half tinyint, weight tinyint, first long, strip binary"))
+        ends = ends.unionByName(_hot_ends(strips, length, k, paths))
     every = settled.unionByName(ends).unionByName(whole)
-    size = found.select("k", "digest", "size").distinct()
     union = F.udf(lambda r: [list(x) for x in merged([(a["start"], a["end"]) for a in r])], "array<array<long>>", useArrow=True)
-    out = every.groupBy("k", "digest").agg(F.collect_set(F.struct("start", "end")).alias("r")).join(size, ["k", "digest"])
+    # a window that begins near the end of its text goes no further than the text
+    size = sizes.groupBy("k", "mark").agg(F.max("size").alias("size"))
+    out = every.groupBy("k", "mark").agg(F.collect_set(F.struct("start", "end")).alias("r")).join(size, ["k", "mark"])
     clipped = F.transform("r", lambda x: F.struct(x["start"].alias("start"), F.least(x["end"], F.col("size")).alias("end")))
-    out, out_path = kept(out.select(F.col("k").alias("key"), F.col("digest").alias("text_digest"), union(clipped).alias("ranges")))
-    dropped(spark, *(p for p in (found_path, copies_path, spots_path, cores_path, live_path, outers_path, groups_path, wanted_path, *more) if p))
+    out, out_path = kept(out.select(F.col("k").alias("key"), F.col("mark").alias("text_mark"), union(clipped).alias("ranges")))
+    dropped(spark, *paths)
     return out, out_path
 
 
 def _with_ranges(docs: DataFrame, ranges: tuple[DataFrame, str], id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     both = docs.withColumn("__key", doc_key(id_col, text_col))
-    own = ranges[0].select(F.col("key").alias("__key"), F.col("text_digest").alias("__d"), F.col("ranges").alias("__ranges"))
-    # a text is known by its key and its digest: texts that share an id keep apart
-    return id_bound_join(both.withColumn("__d", _digest(text)), own, ranges[1], ["__key", "__d"], "left")
+    own = ranges[0].select(F.col("key").alias("__key"), F.col("text_mark").alias("__d"), F.col("ranges").alias("__ranges"))
+    # a text is known by its key and its mark: texts that share an id keep apart
+    return id_bound_join(both.withColumn("__d", _mark(text)), own, ranges[1], ["__key", "__d"], "left")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
