@@ -196,20 +196,21 @@ def _surface() -> list[Feature]:
 
 
 def _readability() -> list[Feature]:
-    n, s = n_tokens().cast("double"), F.col("n_sentences")
+    some = lambda c: F.when(c > 0, c)
+    n, s = some(n_tokens().cast("double")), some(F.col("n_sentences"))
     syl, lengths = F.col("word_syllables"), F.col("word_lengths")
     per_sentence, per_word, characters = n / s, F.col("n_syllables") / n, F.col("n_characters")
     complex_words, mono, long_words = X.where_size(syl, lambda x: x >= 3), X.where_size(syl, lambda x: x == 1), X.where_size(lengths, lambda x: x > 6)
     hard = 100 * (X.where_size(F.col("tokens"), lambda x: ~X.among(x, lexicon("easy_words").tokens)) / n)
-    usable = (n_tokens() > 0) & (s > 0)
+    usable = (n_tokens() > 0) & (F.col("n_sentences") > 0)
     missing = F.when(n_tokens() == 0, F.lit("zero_tokens")).otherwise(F.lit("zero_sentences"))
     # sentences with words that cover the first 100 tokens
     cover = F.aggregate("sentence_lengths", F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), lambda a, x: F.when((a["words"] >= 100) | (x == 0), a).otherwise(F.struct((a["words"] + x).alias("words"), (a["n"] + 1).alias("n"))), lambda a: a["n"])
-    score = X.total(F.slice(syl, 1, 100), lambda x: F.when(x <= 2, 1).otherwise(3), "long") / cover
+    score = X.total(F.slice(syl, 1, 100), lambda x: F.when(x <= 2, 1).otherwise(3), "long") / some(cover)
     values = [
         ("flesch_reading_ease", F.when(usable, 206.835 - 1.015 * per_sentence - 84.6 * per_word), missing), ("flesch_kincaid_grade", F.when(usable, 0.39 * per_sentence + 11.8 * per_word - 15.59), missing),
-        ("gunning_fog", F.when(usable, 0.4 * (per_sentence + 100 * (complex_words / n))), missing), ("coleman_liau", F.when(n_tokens() > 0, 0.0588 * (characters / n * 100) - 0.296 * (s / n * 100) - 15.8), F.lit("zero_tokens")),
-        ("smog", F.when(s >= 3, 1.043 * F.sqrt(complex_words * (30 / s)) + 3.1291), F.when(s == 0, F.lit("zero_sentences")).otherwise(F.lit("below_smog_3_sentence_threshold"))),
+        ("gunning_fog", F.when(usable, 0.4 * (per_sentence + 100 * (complex_words / n))), missing), ("coleman_liau", F.when(n_tokens() > 0, 0.0588 * (characters / n * 100) - 0.296 * (F.col("n_sentences") / n * 100) - 15.8), F.lit("zero_tokens")),
+        ("smog", F.when(s >= 3, 1.043 * F.sqrt(complex_words * (30 / s)) + 3.1291), F.when(F.col("n_sentences") == 0, F.lit("zero_sentences")).otherwise(F.lit("below_smog_3_sentence_threshold"))),
         ("ari", F.when(usable, 4.71 * (characters / n) + 0.5 * per_sentence - 21.43), missing), ("dale_chall", F.when(usable, 0.1579 * hard + 0.0496 * per_sentence + F.when(hard > 5, 3.6365).otherwise(0.0)), missing),
         ("forcast", F.when(n_tokens() >= 150, 20 - mono * (150 / n) / 10), F.when(n_tokens() == 0, F.lit("zero_tokens")).otherwise(F.lit("below_forcast_150_word_threshold"))),
         ("linsear_write", F.when((n_tokens() >= 100) & (cover > 0), F.when(score > 20, score / 2).otherwise((score - 2) / 2)), F.when(n_tokens() == 0, F.lit("zero_tokens")).when(n_tokens() < 100, F.lit("below_linsear_write_100_word_threshold")).otherwise(F.lit("zero_sentences"))),
