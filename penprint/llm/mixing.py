@@ -20,11 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import id_bound_join, kept
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The knapsack tries at most so many lots of documents; further ones would only make an exact fit likelier.
 MOST_LOTS = 4_000
+SEED = 20_240_229
 
 
 def size_of(text: Column) -> Column:
@@ -81,7 +82,7 @@ def fit_budget(counts: Sequence[tuple[int, int]], budget: int) -> list[int]:
     return take
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, most: float = 2.0, seed: int = 20_240_229, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, most: float = 2.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` and ``source`` for every row.
 
     Sources in code point order, null last, weigh ``weights`` in turn; together they give ``total_share`` of all words, none more than
@@ -92,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_sha
     # one pass over the texts; later steps read ids and sizes alone
     rows, _ = kept(docs.select(
         F.col(id_col).alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("__key"),
-        size_of(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))).alias("__h")))
+        size_of(F.col(text_col)).alias("size"), rank_hash(seed, F.col(id_col), F.col(text_col)).alias("__h")))
     found = rows.groupBy("__key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row for each source
     found.sort(key=lambda r: (r["__key"] == "", r["__key"]))
     sizes = [r["size"] for r in found]
@@ -114,7 +115,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_sha
     extra = lengths.join(sources.select("__key", "rest"), "__key").groupBy("__key").applyInPandas(fitted, "__key string, size long, extra long")
     # rank by (bucket of the hash, hash); a bucket of the largest length holds about the root of all rows
     buckets = max(1, n_rows // max(100, math.isqrt(n_rows)))
-    rows = rows.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
+    # buckets are ranges of the hash, so (bucket, hash) is the order of the hash
+    rows = rows.withColumn("__b", F.floor((F.col("__h") / F.lit(2.0 ** 64) + 0.5) * buckets))
     key = ["__key", "size"]
     full = rows.groupBy(*key, "__b").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -123,4 +125,33 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_sha
     ranked = rows.withColumn("__r", rank).join(needs, [*key, "__b"])
     out = ranked.join(F.broadcast(sources) if len(plan_rows) <= 100_000 else sources, "__key")
     taken = F.col("size") * (F.col("passes") + (F.col("__r") <= F.col("need")).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "passes", F.col("__h").alias("rank_hash"))
+
+
+def rank_hash(seed: int, ident: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), ident, F.xxhash64(text))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **more) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it.
+
+    A source and a length take their documents by hash up to a cut, so a table of cuts, as long as there are lengths, stands
+    for all choices, and texts aren't shuffled unless it outgrows a broadcast. Where rows that repeat straddle a cut they
+    are numbered, and the first of them are taken.
+    """
+    taken, path = kept(mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **more).where("size > 0").select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"), "passes", F.col("rank_hash").alias("__h"), (F.col("taken") / F.col("size")).cast("int").alias("__times")))
+    key = ["__source", "__none", "__size"]
+    place = F.struct(F.col("__h"), F.coalesce(F.col("__id").cast("string"), F.lit("")))
+    cuts, cuts_path = kept(taken.groupBy(*key).agg(F.max("passes").alias("__passes"), F.max(F.when(F.col("__times") > F.col("passes"), place)).alias("__cut"), F.sum(F.when(F.col("__times") > F.col("passes"), 1).otherwise(0)).alias("__extra")))
+    # rows at the cut of which some are taken and some aren't
+    split, split_path = kept(taken.join(cuts, key).where(place == F.col("__cut")).groupBy(*key).agg(F.sum(F.when(F.col("__times") > F.col("__passes"), 1).otherwise(0)).alias("__yes"), F.count("*").alias("__all")).where("__yes < __all").select(*key, "__yes"))
+    rows = docs.withColumns({"__id": F.col(id_col), "__size": size_of(F.col(text_col)), "__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__none": F.col(source_col).isNull(), "__h": rank_hash(seed, F.col(id_col), F.col(text_col))})
+    both = id_bound_join(rows, cuts, cuts_path, key)
+    times = F.col("__passes") + F.coalesce((place <= F.col("__cut")).cast("int"), F.lit(0))
+    if not split.isEmpty():
+        numbered = id_bound_join(both, split, split_path, key, "left")
+        at_cut = numbered.where(F.col("__yes").isNotNull() & (place == F.col("__cut"))).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("__h")))
+        others = numbered.where(F.col("__yes").isNull() | (place != F.col("__cut")) | F.col("__cut").isNull()).withColumn("__n", F.lit(0))
+        both, times = others.unionByName(at_cut), times - (F.col("__n") > F.coalesce("__yes", F.lit(0).cast("long"))).cast("int")
+    return both.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -62,16 +62,21 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:len(values) - (width - step)], values[width - step:]) if step < width else values
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = GRAM) -> np.ndarray:
-    """Places of the k-grams that are least in some window of ``length`` bytes."""
+def anchors_by_half(data: bytes, length: int = LENGTH, k: int = GRAM) -> list[np.ndarray]:
+    """For each half the places of the k-grams that are least in some window of ``length`` bytes that starts in that half."""
     if len(data) < length:
-        return np.zeros(0, np.int64)
+        return [np.zeros(0, np.int64)] * 2
     h = gram_hashes(np.frombuffer(data, np.uint8), k)
     width = length - k + 1
-    least = sliding(h, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
-    # the greatest of the least values over the windows that hold a place is its own hash where it is an anchor
-    return np.flatnonzero(sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
+    least = np.concatenate([pad, sliding(h, width, np.minimum), pad])
+    # the greatest of the least values over windows that hold a place is its own hash where it is least in one of them
+    return [np.flatnonzero(sliding(least, b - a + 1, np.maximum)[width - 1 - b:][:len(h)] == h) for a, b in halves(length, k)]
+
+
+def anchors(data: bytes, length: int = LENGTH, k: int = GRAM) -> np.ndarray:
+    """Places of the k-grams that are least in some window of ``length`` bytes."""
+    return np.union1d(*anchors_by_half(data, length, k)).astype(np.int64)
 
 
 def halves(length: int, k: int) -> list[tuple[int, int]]:
@@ -90,11 +95,11 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
         for text in batch.column("text").to_pylist():
             data = (text or "").encode()
             n, before = len(data), len(places)
-            for m in anchors(data, length, k).tolist():
-                for half, (a, b) in enumerate(parts):
+            # equal windows have their least k-gram at the same place, so a half in which a k-gram is least nowhere needs no row
+            for half, found in enumerate(anchors_by_half(data, length, k)):
+                a, b = parts[half]
+                for m in found.tolist():
                     lo, hi = m - a, m - b + length
-                    if lo < 0 or hi > n:
-                        continue
                     start, end = max(0, m - b), min(n, m - a + length)
                     places.append(m)
                     of_half.append(half)
@@ -416,7 +421,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col
     cold, hot = wanted.where("not hot"), wanted.where("hot")
     asked = cold.groupBy("k", "mark").agg(F.collect_list(F.struct("pos", "half", "core", "weight")).alias("spots"))
     # rows that repeat weigh 2 already, so strings that they give twice change nothing
-    slices = base.join(asked, ["k", "mark"]).mapInArrow(lambda b: _sliced(b, length, k), "k long, mark long, pos int, half tinyint, core long, weight tinyint, left binary, right binary")
+    slices = base.join(asked.hint("merge"), ["k", "mark"]).mapInArrow(lambda b: _sliced(b, length, k), "k long, mark long, pos int, half tinyint, core long, weight tinyint, left binary, right binary")
     ends = slices.repartition(partitions_for(spark, cold.count(), EACH), "core").mapInArrow(lambda b: _sorted_ranges(b, length, k), "k long, mark long, start long, end long")
     if not hot.isEmpty():
         asked_hot, hot_path = written(hot.groupBy("k", "mark").agg(F.collect_list(F.struct("pos", "half", "weight")).alias("spots")))
