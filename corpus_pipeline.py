@@ -25,8 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays; of rows that repeat, one."""
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    stay, _ = kept(found.where("kept").select(F.col("key").alias("__key")).distinct())
-    rows = docs.withColumn("__key", doc_key("doc_id", "text")).join(stay, "__key", "left_semi")
+    rows = docs.withColumn("__key", doc_key("doc_id", "text"))
+    # documents that go are fewer than those that stay
+    gone, gone_path = kept(found.where("not kept").select(F.col("key").alias("__key")).distinct())
+    rows = id_bound_join(rows, gone, gone_path, "__key", "left_anti")
     # rows of one key that repeat are few; those are thinned, the others pass
     often, often_path = kept(found.where("kept").groupBy(F.col("key").alias("__key")).count().where("count > 1").select("__key"))
     if often.isEmpty():
@@ -42,13 +44,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
-    # repeats of an id would take each other's share, so rows meet their own number
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.coalesce("source", F.lit("")).alias("__source"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    per, path = kept(taken.groupBy("__id", "__size", "__source").agg(F.max("__times").alias("__times")))
-    rows = docs.withColumns({"__id": F.col("doc_id"), "__size": mixing.size_of(F.col("text")), "__source": F.coalesce("source", F.lit(""))})
-    on = rows["__id"].eqNullSafe(per["__id"]) & (rows["__size"] == per["__size"]) & (rows["__source"] == per["__source"])
-    both = rows.join(per, on)
-    return both.withColumn("__n", F.explode(F.sequence(F.lit(1), "__times"))).select(*[rows[c] for c in docs.columns])
+    return mixing.mixed_rows(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
