@@ -1,0 +1 @@
+"""Expressions and fixed lists."""

@@ -1 +1 @@
-
+"""Annotations by a model, behind a provider."""

@@ -1 +1 @@
-
+"""Operators over views and feature tables."""

@@ -1 +1 @@
-
+"""Document views and feature blocks."""

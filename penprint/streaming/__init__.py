@@ -1 +1 @@
-
+"""The same blocks over streams."""
