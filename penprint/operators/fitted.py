@@ -23,18 +23,19 @@ MOST_BROADCAST = 200_000
 
 
 def grams(items: Column, low: int, high: int, glue: str) -> Column:
-    """All runs of ``low`` to ``high`` items of an array, glued."""
-    n = F.size(items)
-    def of(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.array_join(F.slice(items, i, F.lit(k)), glue))).otherwise(X.no_strings())
-    return F.concat(*[of(k) for k in range(low, high + 1)])
+    """All runs of ``low`` to ``high`` items of an array, glued: the array beside itself, moved on by one item at a time."""
+    n, runs = F.size(items), []
+    acc = items
+    for k in range(1, high + 1):
+        if k > 1:
+            acc = F.zip_with(acc, F.slice(items, F.lit(k), F.greatest(n, F.lit(1))), lambda a, b: F.concat(a, F.lit(glue), b))
+        if k >= low:
+            runs.append(F.slice(acc, F.lit(1), F.greatest(n - k + 1, F.lit(0))))
+    return F.concat(*runs)
 
 
 def character_grams(text: Column, low: int, high: int) -> Column:
-    n = F.length(text)
-    def of(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(X.no_strings())
-    return F.concat(*[of(k) for k in range(low, high + 1)])
+    return grams(F.when(text == "", X.no_strings()).otherwise(F.split(text, "")), low, high, "")
 
 
 def ngram_items(analyzer: str, low: int, high: int) -> Column:

@@ -191,12 +191,9 @@ def quote_places(raw: Column, marks: str) -> Column:
     return F.slice(ends, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
 
-def quote_spans(raw: Column) -> Column:
-    """``kind, start, end`` of the stretches between every two marks of a kind, end exclusive, sorted."""
-    every = []
-    for kind, marks in QUOTES.items():
-        at = quote_places(raw, marks)
-        every.append(F.transform(F.filter(F.transform(at, lambda x, i: F.struct(i.alias("i"), x.alias("a"))), lambda s: s["i"] % 2 == 0), _paired(at, kind)))
+def quote_spans(places: dict[str, Column]) -> Column:
+    """``start, end, kind`` of the stretches between every two marks of a kind, end exclusive, sorted; ``places`` are columns of places."""
+    every = [F.transform(F.filter(F.transform(at, lambda x, i: F.struct(i.alias("i"), x.alias("a"))), lambda s: s["i"] % 2 == 0), _paired(at, kind)) for kind, at in places.items()]
     return F.array_sort(F.filter(F.concat(*every), lambda s: s["end"].isNotNull()))
 
 
@@ -221,7 +218,8 @@ def quote_dialogue_block() -> Block:
         features += counted(lambda m, k=k: f"{base}::quote_mark={k}::{m}", value, n, "per_1000_tokens", "zero_tokens")
     for k, value in signals.items():
         features += counted(lambda m, k=k: f"{base}::signal={k}::{m}", value, n, "per_1000_tokens", "zero_tokens")
-    return Block("quote_dialogue", tuple(features), ({"quote_spans": quote_spans(raw)},))
+    places = {f"places_{kind}": quote_places(raw, chars) for kind, chars in QUOTES.items()}
+    return Block("quote_dialogue", tuple(features), (places, {"quote_spans": quote_spans({kind: F.col(f"places_{kind}") for kind in QUOTES})}))
 
 
 # --- layout

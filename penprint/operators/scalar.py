@@ -55,11 +55,11 @@ def mattr() -> Column:
 
 def msttr() -> Column:
     """Mean over the segments of 50, the last and shorter one too: a token is new if its type hasn't come since the segment began."""
-    segments = F.ceil(n_tokens() / SEGMENT)
-    def share(o: Column) -> Column:
-        begin = F.floor(o["i"] / SEGMENT) * SEGMENT
-        return F.when(o["p"] < begin, F.lit(1.0) / F.least(F.lit(SEGMENT), n_tokens() - begin)).otherwise(0.0)
-    return F.when(n_tokens() > 0, X.total(F.col("earlier"), share) / segments)
+    n = n_tokens()
+    whole, segments = F.floor(n / SEGMENT), F.ceil(n / SEGMENT)
+    new = lambda full: X.total(F.filter("earlier", lambda o: (o["p"] < F.floor(o["i"] / SEGMENT) * SEGMENT) & ((o["i"] < whole * SEGMENT) == F.lit(full))), lambda o: F.lit(1), "long")
+    rest = n - whole * SEGMENT
+    return F.when(n > 0, (new(True) / F.lit(float(SEGMENT)) + F.when(rest > 0, new(False) / rest).otherwise(0.0)) / segments)
 
 
 def _factors(tokens: Column) -> Column:
@@ -100,8 +100,10 @@ def mean(array: Column) -> Column:
 
 
 def pop_std(array: Column) -> Column:
-    m = mean(array)
-    return F.when(F.size(array) > 0, F.sqrt(X.total(array, lambda x: (x - m) * (x - m)) / F.size(array)))
+    """From whole sums, so that nothing is computed again for each item."""
+    n, s, q = F.size(array), X.total(array, kind="long"), X.total(array, lambda x: x.cast("long") * x, "long")
+    some = F.when(n > 0, n.cast("double"))
+    return F.sqrt((n * q - s * s) / (some * some))
 
 
 def percentile(ordered: Column, p: float) -> Column:

@@ -105,13 +105,15 @@ def distance_block() -> Block:
 
 
 def with_inner_arcs(parsed: DataFrame) -> DataFrame:
-    return parsed if "inner_arcs" in parsed.columns else parsed.withColumn("inner_arcs", _inner_arcs())
+    """With the arcs that have a head, and the same by their dependents' places."""
+    if "inner_arcs" in parsed.columns:
+        return parsed
+    return parsed.withColumn("inner_arcs", _inner_arcs()).withColumn("arc_by_place", F.map_from_entries(F.transform("inner_arcs", lambda a: F.struct(a["dep"], a))))
 
 
 def heads_by_place() -> Column:
     """For each token its head, null at roots and where there is no arc."""
-    heads = F.map_from_entries(F.transform("inner_arcs", lambda a: F.struct(a["dep"], a["head"])))
-    return F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.try_element_at(heads, i))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.try_element_at("arc_by_place", i)["head"])).otherwise(F.array().cast("array<int>"))
 
 
 def _climb(start: Column, step) -> Column:
@@ -214,9 +216,10 @@ def pos_skipgrams(skip: int) -> Column:
     """Pairs of parts of speech with ``skip`` tokens between."""
     if skip < 1:
         raise ValueError("a skip of at least one token")
-    tags = _upos()
-    n, offset = F.size(tags), skip + 1
-    return F.when(n > offset, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - offset - 1)), lambda i: F.concat(_at(tags, i), F.lit(f" *{skip} "), _at(tags, i + offset)))).otherwise(X.no_strings())
+    tags, offset = _upos(), skip + 1
+    n = F.size("tokens")
+    pairs = F.zip_with(tags, F.slice(tags, F.lit(offset + 1), F.greatest(n, F.lit(1))), lambda a, b: F.concat(a, F.lit(f" *{skip} "), b))
+    return F.slice(pairs, F.lit(1), F.greatest(n - offset, F.lit(0)))
 
 
 def morphology_items() -> Column:
@@ -234,11 +237,10 @@ def relation_ngrams(low: int, high: int) -> Column:
 
 def relation_paths() -> Column:
     """Relations from the root down to each dependent, and its part of speech."""
-    by_place = F.map_from_entries(F.transform("inner_arcs", lambda a: F.struct(a["dep"], a)))
     def path(arc: Column) -> Column:
         start = F.struct(arc["head"].alias("at"), arc["relation"].alias("path"))
         def step(s: Column) -> Column:
-            up = F.try_element_at(by_place, s["at"])
+            up = F.try_element_at("arc_by_place", s["at"])
             return F.struct(up["head"].alias("at"), F.when(up.isNotNull(), F.concat(up["relation"], F.lit(">"), s["path"])).otherwise(s["path"]).alias("path"))
         end = _climb(start, step)
         whole = F.when(end["at"].isNotNull(), F.raise_error(F.lit("a dependency cycle")).cast("string")).otherwise(end["path"])

@@ -96,7 +96,7 @@ def _richness() -> str:
     return docs() + """, u AS (SELECT doc_id, unnest(tokens) AS t, unnest(range(len(tokens))) AS i, len(tokens) AS n FROM v),
 p AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id, t ORDER BY i), -1) AS p FROM u),
 win AS (SELECT doc_id, max(n) AS n, sum(greatest(0, least(i, n - least(50, n)) - greatest(p + 1, i - least(50, n) + 1, 0) + 1)) / (least(50, max(n)) * (max(n) - least(50, max(n)) + 1)) AS mattr FROM p GROUP BY doc_id),
-seg AS (SELECT doc_id, i // 50 AS s, count(DISTINCT t) / count(*) AS ttr FROM u GROUP BY 1, 2), ms AS (SELECT doc_id, avg(ttr) AS msttr FROM seg GROUP BY 1),
+seg AS (SELECT doc_id, i // 50 AS s, count(DISTINCT t) AS k, count(*) AS c FROM u GROUP BY 1, 2), ms AS (SELECT doc_id, (CAST(coalesce(sum(k) FILTER (c = 50), 0) AS DOUBLE) / 50 + coalesce(max(CAST(k AS DOUBLE) / c) FILTER (c < 50), 0)) / count(*) AS msttr FROM seg GROUP BY 1),
 f AS (SELECT doc_id, t, count(*) AS f, max(n) AS n FROM u GROUP BY 1, 2),
 h AS (SELECT doc_id, sum((1 - list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(range(least(42, n)), lambda k: CAST(greatest(0, n - f - k) AS DOUBLE) / (n - k))), lambda a, b: a * b)) / least(42, n)) AS hdd,
   max(n) AS n, count(*) AS v, sum(CASE WHEN f = 1 THEN 1 ELSE 0 END) AS v1, sum(CASE WHEN f = 2 THEN 1 ELSE 0 END) AS v2, sum(CAST(f AS DOUBLE) * f) AS q FROM f GROUP BY 1),
@@ -137,7 +137,7 @@ def statements(snake, lexicon) -> dict[str, str]:
     s["lexical_richness"] = _richness()
     tok = lambda t: f"len(regexp_extract_all({t}, '{TOKEN}'))"
     s["length_statistics"] = docs() + f""", l AS (SELECT doc_id, list_transform(tokens, lambda x: length(x)) AS w, list_transform(tokens, lambda x: {syllables('x')}) AS sy, list_transform(sentences, lambda x: {tok('x')}) AS se, list_transform(paragraphs, lambda x: {tok('x')}) AS pa, list_transform(lines, lambda x: length(x)) AS li FROM v)
-""" + out({"length_word_mean": "list_avg(w)", "length_word_median": "list_aggregate(w, 'quantile_cont', 0.5)", "length_word_std": "list_aggregate(w, 'stddev_pop')", "length_syllables_per_word_mean": "list_avg(sy)", "length_sentence_tokens_mean": "list_avg(se)", "length_sentence_tokens_std": "list_aggregate(se, 'stddev_pop')", "length_paragraph_tokens_mean": "list_avg(pa)", "length_line_characters_mean": "list_avg(li)"}, "l")
+""" + out({"length_word_mean": "list_avg(w)", "length_word_median": "list_aggregate(w, 'quantile_cont', 0.5)", "length_word_std": "sqrt((len(w) * list_sum(list_transform(w, lambda x: x * x)) - list_sum(w) ** 2) / (CAST(len(w) AS DOUBLE) * len(w)))", "length_syllables_per_word_mean": "list_avg(sy)", "length_sentence_tokens_mean": "list_avg(se)", "length_sentence_tokens_std": "sqrt((len(se) * list_sum(list_transform(se, lambda x: x * x)) - list_sum(se) ** 2) / (CAST(len(se) AS DOUBLE) * len(se)))", "length_paragraph_tokens_mean": "list_avg(pa)", "length_line_characters_mean": "list_avg(li)"}, "l")
     pro = lexicon("pronouns")
     person = lambda p: pro.of_group(f"{p}_person")
     stop = lexicon("stopwords").tokens
