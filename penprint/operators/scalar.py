@@ -7,6 +7,9 @@ each of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from penprint.functions.vocd import VOCD_SEED, vocd
 from penprint.plans.blocks import SHORT, Block, Feature, ratio
 
 WINDOW, SEGMENT, MTLD_CUT, HDD_SAMPLE = 50, 50, 0.72, 42
+#: Rows of one length, and lengths, that one task of vocd takes.
+VOCD_ROWS, VOCD_TOKENS = 500, 20_000
+VOCD_TYPE = pa.struct([("d", pa.float64()), ("fast", pa.float64()), ("reason", pa.string())])
 #: Marks that count as punctuation.
 MARKS = ".,;:!?-—()[]{}'\"…"
 
@@ -87,6 +93,29 @@ def with_vocd(seed: str = VOCD_SEED):
     return step
 
 
+def vocd_by_length(view: DataFrame, seed: str = VOCD_SEED) -> DataFrame:
+    """``doc_id, vocd`` of every row. Rows of one length come together, so that a length's samples are drawn once for each ``VOCD_ROWS`` of them."""
+    spark = view.sparkSession
+    lengths = view.groupBy(F.size("tokens").alias("n")).count()
+    # a task draws the samples of lengths that come to about VOCD_TOKENS together
+    drawn = lengths.agg(F.sum("n")).first()[0] or 0
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-drawn // VOCD_TOKENS))
+    often = lengths.where(F.col("count") > VOCD_ROWS)  # no more than there are lengths
+    rows = view.select("doc_id", "tokens", F.size("tokens").alias("n")).join(F.broadcast(often), "n", "left")
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "tokens"), F.ceil(F.col("count") / VOCD_ROWS)), F.lit(0).cast("long")))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = [vocd(t.as_py(), seed) for t in some.column("tokens")]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(found, VOCD_TYPE)], ["doc_id", "vocd"])
+
+    kind = view.schema["doc_id"].dataType.simpleString()
+    dealt = rows.repartition(tasks, "n", "part").sortWithinPartitions("n").select("doc_id", "tokens")
+    return dealt.mapInArrow(measured, f"doc_id {kind}, vocd struct<d:double,fast:double,reason:string>")
+
+
 def length_columns(config) -> tuple[dict[str, Column], ...]:
     return (
         {"n_tokens": F.size("tokens"), "word_lengths": F.transform("tokens", F.length), "word_syllables": F.transform("tokens", X.syllables), "sentence_lengths": F.transform("sentences", lambda s: X.token_count(s, config)),

@@ -12,7 +12,7 @@ from penprint.config import ENGLISH
 from penprint.functions import text as X
 from penprint.functions.lexicons import lexicon
 from penprint.operators import distributions, evaluation, fitted, lexical, profiles, syntax
-from penprint.operators.scalar import scalar_block, with_vocd
+from penprint.operators.scalar import scalar_block, vocd_by_length
 from penprint.plans import blocks as B
 from penprint.plans.view import document_view
 from penprint.sql import oracle
@@ -61,8 +61,8 @@ def scalar(*parts: str, enriched: bool = False):
 
 
 def vocd_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the benchmark passages; each length of text hashes 1,600 times its tokens."""
-    rows = with_vocd()(document_view(table(spark, sf_dir, "benchmark"), id_col="item_id"))
+    """Of every document; each length of text hashes 1,600 times its tokens."""
+    rows = vocd_by_length(view(spark, sf_dir))
     return rows.select("doc_id", rounded(F.col("vocd.d")).alias("vocd_d"), rounded(F.col("vocd.fast")).alias("vocd_d_fast"), F.col("vocd.reason").alias("reason"))
 
 

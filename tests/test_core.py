@@ -6,13 +6,13 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from penprint import registry
+from penprint import queries, registry
 from penprint.config import ENGLISH, PreprocessingConfig
 from penprint.functions import text as X
 from penprint.functions.lexicons import Entry, Lexicon, lexicon
 from penprint.functions.vocd import fit_curve, ttr_curve, vocd
 from penprint.judged import annotations as J
-from penprint.operators import distributions, evaluation, extractor, fitted, lexical, profiles, syntax
+from penprint.operators import distributions, evaluation, extractor, fitted, lexical, profiles, scalar, syntax
 from penprint.operators.scalar import scalar_block
 from penprint.plans import blocks as B
 from penprint.plans.view import check_text, document_view, with_spans
@@ -95,6 +95,15 @@ def test_vocd():
     assert vocd(["a", "b", "c"] * 20) == vocd(["a", "b", "c"] * 20)
 
 
+def test_vocd_of_every_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scalar, "VOCD_ROWS", 4)
+    texts = {i: " ".join(f"w{'abcdefghij'[(i + k * k) % 10]}" for k in range(60 if i < 20 else 50 + i)) for i in range(30)} | {30: "too short", 31: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.vocd_d, r.vocd_d_fast, r.reason) for r in queries.vocd_diversity(spark, str(tmp_path)).collect()}
+    want = {i: vocd((t or "").split()) for i, t in texts.items()}
+    assert got == {i: tuple(w[k] if w[k] is None or k == "reason" else pytest.approx(w[k], abs=1e-6) for k in ("d", "fast", "reason")) for i, w in want.items()}
+
+
 def test_vocabularies(spark, tmp_path):
     df = spark.createDataFrame([(1, "alpha beta alpha gamma"), (2, "beta gamma gamma delta")], "doc_id long, text string")
     view = document_view(df)
