@@ -141,10 +141,17 @@ def threshold_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out: means of the labelled vectors of even id, predictions of those of odd id."""
     rows = vectors(spark, sf_dir).where("label is not null")
     return evaluation.nearest_centroid(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), id_col="vec_id").select("doc_id", F.col("prediction").cast("long").alias("prediction"), rounded(F.col("distance")).alias("distance"))
 
 
+def nearest_centroid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every vector, by the means of all that have a label."""
+    rows = vectors(spark, sf_dir)
+    return evaluation.nearest_centroid(rows.where("label is not null"), rows, id_col="vec_id").select("doc_id", F.col("prediction").cast("long").alias("prediction"), rounded(F.col("distance")).alias("distance"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark passages with an author and a topic by their ids."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), (F.col("item_id") % 5).alias("author"), (F.col("item_id") % 3).alias("topic"), "text")
@@ -251,7 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quote_dialogue": block_query(lambda: [profiles.quote_dialogue_block()], enriched=True), "layout_whitespace": block_query(lambda: [profiles.layout_block()], enriched=True), "discourse_markers": block_query(lambda: [profiles.discourse_block()], enriched=True),
     "transition_phrases": block_query(lambda: [profiles.transition_block()], enriched=True), "abbreviations_acronyms": block_query(lambda: [profiles.abbreviation_block()], enriched=True), "format_layers": format_layers, "syllables": syllables,
     "most_frequent_words": most_frequent_words, "term_frequencies": term_frequencies, "word_ngrams": vocabulary("word", 1, 2, 100), "function_word_ngrams": vocabulary("function_word", 1, 2, 100), "char_ngrams": vocabulary("char", 3, 3, 100), "punctuation_ngrams": vocabulary("punctuation", 1, 3, 50),
-    "z_scores": z_scores, "burrows_delta": burrows_delta, "cosine_pairs": vector_pairs("cosine"), "euclidean_pairs": vector_pairs("euclidean"), "threshold_verification": threshold_verification, "nearest_centroid": nearest_centroid,
+    "z_scores": z_scores, "burrows_delta": burrows_delta, "cosine_pairs": vector_pairs("cosine"), "euclidean_pairs": vector_pairs("euclidean"), "threshold_verification": threshold_verification, "nearest_centroid": nearest_centroid, "nearest_centroid_all": nearest_centroid_all,
     "hard_negative_pairs": hard_negatives, "topic_shift_pairs": topic_shifts, "cross_topic_holdout": holdout, "effect_sizes": effect_sizes, "length_sensitivity": length_sensitivity, "split_diagnostics": split_diagnostics, "dense_index": dense_index, "content_mask": content_mask, "review_packet": review_packet,
     "pos_frequency": syntax_query(lambda: [syntax.pos_frequency_block(), syntax.pos_density_block()]), "dependency_relations": syntax_query(lambda: [syntax.relation_block()]), "dependency_distance": syntax_query(lambda: [syntax.distance_block()]), "parse_depth": syntax_query(lambda: [syntax.parse_depth_block()]),
     "syntactic_complexity": syntax_query(lambda: [syntax.complexity_block()]), "passive_voice": syntax_query(lambda: [syntax.passive_block()]), "entity_density": syntax_query(lambda: [syntax.entity_density_block(("ORG", "PERSON"))]), "root_statistics": syntax_query(lambda: [syntax.root_block()]),
