@@ -1,7 +1,8 @@
 """Licence scans: sparse TF-IDF cosine against templates, then inheritance from the nearest ancestor directory.
 
-Every paragraph, line and pair of lines of a file that has a word of licences is a *header*; its sparse TF-IDF vector is compared
-with the templates', by an inverted index of their terms. The best cosine at the threshold or above, if a naming word
+Every paragraph of a file that has a word of licences is compared as a whole, by its lines and pairs of lines with such a word, and by
+every stretch of as many words as a template (a *header*): its sparse TF-IDF vector with the templates', by an inverted index of their terms.
+White space of any kind counts as one blank. The best cosine at the threshold or above, if a naming word
 of the template is there too, is the file's own licence. A *licence file* is one whose name says so (LICENSE, COPYING, ...) or
 whose text is mostly licence; it speaks for its directory. Files without a licence of their own inherit from the nearest
 ancestor directory that has a licence file: distinct directories meet their ancestors in equi-joins on the path, and
@@ -19,6 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ TEMPLATES: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "CC0-1.0": ("public", r"\bcc0\b|public domain", ("Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0")),
     "Proprietary": ("proprietary", r"all rights reserved", ("Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission.")),
 }
-_CUE = re.compile(r"licen[cs]|spdx|all rights reserved|public domain|\bcc0\b|\bcc[ -]by\b|permission is hereby|redistribution and use", re.I)
+_CUE = re.compile(r"licen[cs]|spdx|all\s+rights\s+reserved|public\s+domain|\bcc0\b|\bcc[\s-]by\b|permission\s+is\s+hereby|redistribution\s+and\s+use", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _FILE = re.compile(r"(?i)^(?:licen[cs]e|copying|unlicense|notice)(?:[.\-_].*)?$")
 
@@ -65,6 +67,7 @@ class Templates:
         self.rare = math.log(1 + len(texts)) + 1
         self.posts: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.owner = [k for k, _ in texts]
+        self.words = [sum(n for t, n in c.items() if " " not in t) for _, c in texts]
         for i, (_, c) in enumerate(texts):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             for t, n in c.items():
@@ -81,7 +84,40 @@ class Templates:
             for i, x in self.posts.get(t, ()):
                 dots[i] += w * x
         ranked = sorted((-d / math.sqrt(square), self.owner[i]) for i, d in dots.items())
-        return next(((-d, k) for d, k in ranked if self.naming[k].search(text)), None)
+        plain = " ".join(text.split())
+        return next(((-d, k) for d, k in ranked if self.naming[k].search(plain)), None)
+
+    def windows(self, text: str, threshold: float) -> Iterator[str]:
+        """Of all stretches with as many words as a template, those whose cosine with it may reach the threshold.
+
+        A stretch's product with a template is a sum over its terms. Its norm is at least the root of the sum of its terms' squared
+        weights (more where a term repeats), so running sums bound every cosine from above.
+        """
+        text = text.lower()
+        at = [(m.start(), m.end()) for m in _TERM.finditer(text)]
+        found = [text[a:b] for a, b in at]
+        # terms by their last word: for the first word of a stretch, its pair with the word before doesn't count
+        singles, pairs = found, ["", *[f"{a} {b}" for a, b in zip(found, found[1:], strict=False)]]
+        weigh = lambda terms_of: np.array([self.idf.get(t, self.rare) for t in terms_of])
+        one, two = weigh(singles), weigh(pairs)
+        gains: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        for kind, terms_of in enumerate((singles, pairs)):
+            for place, t in enumerate(terms_of):
+                for i, x in self.posts.get(t, ()):
+                    gains[i][kind].append((place, self.idf[t] * x))
+        sums = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+        norms = sums(one * one), sums(two * two)
+        for i, both in gains.items():
+            n = min(self.words[i], len(found))
+            dots = []
+            for of in both:
+                dense = np.zeros(len(found))
+                for place, x in of:
+                    dense[place] = x
+                dots.append(sums(dense))
+            within = lambda s: (s[0][n:] - s[0][:-n]) + (s[1][n:] - s[1][1:len(found) - n + 2])  # noqa: E731, B023
+            for k in np.flatnonzero(within(dots) >= (threshold - 1e-9) * np.sqrt(within(norms))).tolist():
+                yield text[at[k][0]:at[k + n - 1][1]]
 
 
 def scan_text(index: Templates, text: str, threshold: float) -> tuple[str | None, float | None, float]:
@@ -91,22 +127,26 @@ def scan_text(index: Templates, text: str, threshold: float) -> tuple[str | None
     if _CUE.search(text):
         for paragraph in re.split(r"\n\s*\n", text):
             lines = [x for x in paragraph.split("\n") if x.strip()]
+            if not _CUE.search(paragraph):
+                continue
             hits = [bool(_CUE.search(x)) for x in lines]
-            spans = {paragraph} if any(hits) and len(paragraph) < 4_000 else set()
+            spans = {paragraph, *index.windows(paragraph, threshold)}
             for i, hit in enumerate(hits):
                 if hit:
                     spans |= {lines[i], " ".join(lines[i:i + 2]), " ".join(lines[max(0, i - 1):i + 1])}
                     # a sentence inside a long line
                     spans |= {x for x in re.split(r"(?<=[.!?])\s+(?=[A-Z])", lines[i]) if _CUE.search(x)}
-            own = None
+            own, longest = None, 0
             for span in sorted(spans):
                 got = index.best(span)
-                if got and got[0] >= threshold and (own is None or (-got[0], got[1]) < (-own[0][0], own[0][1])):
-                    own = (got, len(span.split()))
+                if got and got[0] >= threshold:
+                    longest = max(longest, len(span.split()))
+                    if own is None or (-got[0], got[1]) < (-own[0], own[1]):
+                        own = got
             if own:
-                inside += own[1]
-                if best is None or (-own[0][0], own[0][1]) < (-best[0], best[1]):
-                    best = own[0]
+                inside += longest
+                if best is None or (-own[0], own[1]) < (-best[0], best[1]):
+                    best = own
         total = len(text.split())
     return (best[1], round(best[0], 6), min(1.0, inside / max(1, total))) if best else (None, None, 0.0)
 

@@ -15,6 +15,30 @@ def test_scan(text, want):
     assert L.scan_text(INDEX, text, L.THRESHOLD)[0] == want
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("Copyright 2024 Someone. All rights\nreserved.", "Proprietary"), ("Permission is\nhereby granted, free\nof charge, to any\nperson obtaining a\ncopy of this software", "MIT"),
+    ("word here\n" * 600 + "Permission is\nhereby granted, free\nof charge, to any\nperson obtaining a\ncopy of this software\nand associated documentation\nfiles, to deal in the\nSoftware without restriction\n" + "more there\n" * 600, "MIT"),
+    ("Redistribution and\nuse in source and\nbinary forms, with or\nwithout modification, are permitted", "BSD-3-Clause"),
+])
+def test_notices_broken_by_lines(text, want):
+    assert L.scan_text(INDEX, text, L.THRESHOLD)[0] == want
+
+
+def test_windows_hold_every_stretch_at_the_threshold():
+    text = "one two mit license released under the mit license under the MIT License. " * 3 + "Permission is hereby granted, free of charge, to the mit mit mit person"
+    low = text.lower()
+    at = [(m.start(), m.end()) for m in L._TERM.finditer(low)]
+    for i, n in enumerate(INDEX.words):
+        n = min(n, len(at))
+        got = set(INDEX.windows(text, L.THRESHOLD))
+        for k in range(len(at) - n + 1):
+            span = low[at[k][0]:at[k + n - 1][1]]
+            c = L.Counter(L.terms(span))
+            norm = sum((m * INDEX.idf.get(t, INDEX.rare)) ** 2 for t, m in c.items()) ** .5
+            cosine = sum(m * INDEX.idf[t] * x for t, m in c.items() for j, x in INDEX.posts.get(t, ()) if j == i) / norm
+            assert cosine < L.THRESHOLD or span in got
+
+
 def brute(files):
     """Own licences by scanning; the nearest licence file above by walking up."""
     own = {}
