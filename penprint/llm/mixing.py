@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from .common import id_bound_join, kept
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: The knapsack tries at most so many lots of documents; further ones would only make an exact fit likelier.
-MOST_LOTS = 4_000
 SEED = 20_240_229
 
 
@@ -63,22 +62,26 @@ def fit_budget(counts: Sequence[tuple[int, int]], budget: int) -> list[int]:
         more = min(c - take[i], max(0, left - 2 * big) // s)
         take[i] += more
         left -= more * s
-    # bounded knapsack over bits: bit b of reach is set if b words can be had
-    lots, reach, mask = [], 1, (1 << (left + 1)) - 1
+    # bounded knapsack over bits: bit b of reach is set if b words can be had; first has the lot with which that was so
+    lots, reach, mask, first = [], 1, (1 << (left + 1)) - 1, np.zeros(left + 8, "int64")
     for i in order:
         s, free, k = counts[i][0], counts[i][1] - take[i], 1
-        while free > 0 and k * s <= left and len(lots) < MOST_LOTS and not reach >> left & 1:
+        while free > 0 and k * s <= left and not reach >> left & 1:
             k = min(k, free)
-            now = (reach | reach << k * s) & mask
-            if now != reach:
-                lots.append((i, k, reach))
-                reach = now
+            new = reach << k * s & mask & ~reach
+            if new:
+                some = np.frombuffer(new.to_bytes(left // 8 + 1, "little"), "uint8")
+                at = np.flatnonzero(some)
+                of, bit = np.nonzero(np.unpackbits(some[at, None], axis=1, bitorder="little"))
+                first[at[of] * 8 + bit] = len(lots)
+                lots.append((i, k))
+                reach |= new
             free, k = free - k, 2 * k
     at = reach.bit_length() - 1
-    for i, k, before in reversed(lots):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * counts[i][0]
+    while at:  # what was there before a lot was had without it
+        i, k = lots[first[at]]
+        take[i] += k
+        at -= k * counts[i][0]
     return take
 
 

@@ -18,6 +18,11 @@ def test_budget(counts, budget):
     assert got >= min(budget, total) - max(s for s, _ in counts)
 
 
+def test_budget_of_many_lengths():
+    counts = [(1, 1), *((n, 1) for n in range(20_002, 30_002, 2))]
+    assert sum(t * s for t, (s, _) in zip(mixing.fit_budget(counts, 59_999), counts, strict=True)) == 59_999
+
+
 def test_targets():
     assert mixing.target_sizes([100, 100, 100], [3, 1, 2], 450, 2.0) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.target_sizes([], [], 0, 2.0) == []
