@@ -1,8 +1,9 @@
 """Exact substring dedup: bytes covered by a string of ``length`` bytes that also starts anywhere else.
 
-1. *Anchors.* In every window of ``length`` bytes the k-grams of least hash are anchors. Equal windows have equal anchors,
-   so a repeat is seen from anchors alone, about two in every window. The offsets at which a window may lie around its
-   anchor fall into two halves; all windows of a half share a *core*, and lie in an *outer* string.
+1. *Anchors.* In every window of ``length`` bytes the leftmost k-gram of least hash is an anchor. Equal windows have equal
+   anchors, so a repeat is seen from anchors alone, about two in every window. The offsets at which a window may lie around
+   its anchor fall into two halves; all windows of a half share a *core*, and lie in an *outer* string. A run of a short
+   period that is longer than a window repeats within itself; only the windows of its first period have anchors.
 2. *Candidates.* Cores are counted over all texts. One that occurs once ends there. Anchors whose whole outer string
    occurs again are settled: all their windows repeat. Equal outer strings are one from here on, with their count.
 3. *Sorting.* What is left, the ends of repeats, is sorted as suffixes that start at cores, and as prefixes read back
@@ -17,7 +18,7 @@ Matches never cross documents, and strings are judged on the input. Exact copies
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; copies of a text of ``length`` bytes or
 more, repeated rows as well, lose all of it; a null id keeps its rows apart unless their texts agree; an empty table
-gives an empty result. Texts are read whole; periodic texts have more anchors, up to one for each byte.
+gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -62,21 +63,64 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:len(values) - (width - step)], values[width - step:]) if step < width else values
 
 
-def anchors_by_half(data: bytes, length: int = LENGTH, k: int = GRAM) -> list[np.ndarray]:
-    """For each half the places of the k-grams that are least in some window of ``length`` bytes that starts in that half."""
+def anchors_by_half(data: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """For each half the places of the k-grams that are least in some window of ``length`` bytes that starts in that half,
+    the leftmost where several are least; and the periodic runs, which are settled as they are.
+
+    A run of period p and of ``length + p`` bytes or more is covered: its windows start again p bytes on. Windows that lie
+    in it beyond the first p are equal to one of those, so they have no anchors.
+    """
     if len(data) < length:
-        return [np.zeros(0, np.int64)] * 2
-    h = gram_hashes(np.frombuffer(data, np.uint8), k)
+        return [np.zeros(0, np.int64)] * 2, []
+    text = np.frombuffer(data, np.uint8)
+    h = gram_hashes(text, k)
     width = length - k + 1
     pad = np.zeros(width - 1, np.uint64)
     least = np.concatenate([pad, sliding(h, width, np.minimum), pad])
     # the greatest of the least values over windows that hold a place is its own hash where it is least in one of them
-    return [np.flatnonzero(sliding(least, b - a + 1, np.maximum)[width - 1 - b:][:len(h)] == h) for a, b in halves(length, k)]
+    pick = lambda: [np.flatnonzero(sliding(least, b - a + 1, np.maximum)[width - 1 - b:][:len(h)] == h) for a, b in halves(length, k)]
+    found = pick()
+    at, before = _again(np.union1d(*found), h, width)
+    if not len(at):
+        return found, []
+    runs = periodic_runs(text, before, at - before, length)
+    for a, b, p in runs:
+        least[width - 1 + a + p:width + b - length] = 0
+    if runs:
+        found = pick()
+        at, before = _again(np.union1d(*found), h, width)
+    known = dict(zip(at.tolist(), before.tolist(), strict=True))
+    for i, (a, b) in enumerate(halves(length, k)):
+        # a place that follows an equal one is the first only in windows that start after that
+        late = [m for m in found[i].tolist() if m in known and not (least[width - 1 + max(m - b, known[m] + 1):width + m - a] == h[m]).any()]
+        if late:
+            found[i] = np.setdiff1d(found[i], late)
+    return found, [(a, b) for a, b, _ in runs]
+
+
+def _again(places: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that have an equal hash less than ``width`` before, and where that is."""
+    order = np.lexsort((places, h[places]))
+    at, hashes = places[order], h[places[order]]
+    same = np.flatnonzero((hashes[1:] == hashes[:-1]) & (np.diff(at) < width))
+    return at[same + 1], at[same]
+
+
+def periodic_runs(text: np.ndarray, at: np.ndarray, gaps: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """``start, end, period`` of the maximal runs of ``length`` and a period more, found from places that occur again ``gaps`` on."""
+    out = set()
+    for p in np.unique(gaps[gaps <= length // 2]).tolist():
+        # ends of the stretches in which every byte returns p bytes on
+        breaks = np.concatenate([[-1], np.flatnonzero(text[:-p] != text[p:]), [len(text) - p]])
+        i = np.unique(np.searchsorted(breaks, at[gaps == p]))
+        i = i[(i > 0) & (i < len(breaks))]
+        out |= {(a, b, p) for a, b in zip((breaks[i - 1] + 1).tolist(), (breaks[i] + p).tolist(), strict=True) if b - a >= length + p}
+    return sorted(out)
 
 
 def anchors(data: bytes, length: int = LENGTH, k: int = GRAM) -> np.ndarray:
-    """Places of the k-grams that are least in some window of ``length`` bytes."""
-    return np.union1d(*anchors_by_half(data, length, k)).astype(np.int64)
+    """Places of the k-grams that are least in some window of ``length`` bytes that needs an anchor."""
+    return np.union1d(*anchors_by_half(data, length, k)[0]).astype(np.int64)
 
 
 def halves(length: int, k: int) -> list[tuple[int, int]]:
@@ -86,7 +130,8 @@ def halves(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor and half: its place, and 64-bit hashes of core and outer string."""
+    """A row for each anchor and half: its place, and 64-bit hashes of core and outer string; for each periodic run a row
+    of half -1, with its start and, as ``outer``, its end."""
     from xxhash import xxh3_64_intdigest
 
     parts = halves(length, k)
@@ -95,8 +140,14 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
         for text in batch.column("text").to_pylist():
             data = (text or "").encode()
             n, before = len(data), len(places)
+            by_half, runs = anchors_by_half(data, length, k)
+            for start, end in runs:
+                places.append(start)
+                of_half.append(-1)
+                cores.append(0)
+                outers.append(end)
             # equal windows have their least k-gram at the same place, so a half in which a k-gram is least nowhere needs no row
-            for half, found in enumerate(anchors_by_half(data, length, k)):
+            for half, found in enumerate(by_half):
                 a, b = parts[half]
                 for m in found.tolist():
                     lo, hi = m - a, m - b + length
@@ -406,6 +457,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col
     reps = reps.select("k", "mark", F.when(F.col("rep").isNull(), 1).otherwise(2).cast("byte").alias("weight"), "text")
     spots, _ = written(reps.mapInArrow(lambda b: _anchored(b, length, k), "k long, mark long, weight tinyint, pos int, half tinyint, core long, outer long"))
     # counts are written before rows meet them in a join: its two sides are then plain exchanges, whose hot keys split
+    runs = spots.where("half < 0").select("k", "mark", F.col("pos").cast("long").alias("start"), F.col("outer").alias("end"))
+    spots = spots.where("half >= 0")
     cores, _ = written(spots.groupBy("core").agg(F.sum("weight").alias("times")).where("times >= 2").select("core"))
     live, _ = written(spots.join(cores, "core"))
     # core and outer string by two hashes of 64 bits: only outer strings of one core could be taken for each other
@@ -427,7 +480,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col
         asked_hot, hot_path = written(hot.groupBy("k", "mark").agg(F.collect_list(F.struct("pos", "half", "weight")).alias("spots")))
         strips, _ = written(id_bound_join(base, asked_hot, hot_path, ["k", "mark"]).mapInArrow(lambda b: _strips(b, length, k), "k long, mark long, pos int, half tinyint, weight tinyint, first long, strip binary"))
         ends = ends.unionByName(_hot_ends(strips, length, k, paths))
-    every = settled.unionByName(ends).unionByName(whole)
+    every = settled.unionByName(ends).unionByName(whole).unionByName(runs)
     union = F.udf(lambda r: [list(x) for x in merged([(a["start"], a["end"]) for a in r])], "array<array<long>>", useArrow=True)
     # a window that begins near the end of its text goes no further than the text
     size = sizes.groupBy("k", "mark").agg(F.max("size").alias("size"))
@@ -446,8 +499,12 @@ def _with_ranges(docs: DataFrame, ranges: tuple[DataFrame, str], id_col: str, te
     return id_bound_join(both.withColumn("__d", _mark(text)), own, ranges[1], ["__key", "__d"], "left")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated strings cut out of ``text_col``; a character goes only if all its bytes do."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int = 0, whole: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated strings cut out of ``text_col``; a character goes only if all its bytes do.
+
+    With ``words`` a run goes only if it holds so many words, or ``whole`` bytes: passages are told by their words, while
+    lines and phrases that happen to be longer than ``length`` stay. Other columns may have any names.
+    """
     names = docs.columns
     ranges = repeated_ranges(docs.select(id_col, text_col), length, id_col=id_col, text_col=text_col)
 
@@ -460,13 +517,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     out.append(t)
                 else:
                     data = t.encode()
+                    r = [(a, b) for a, b in r if b - a >= whole or len(data[a:b].split()) >= words]
                     out.append(cut(data, whole_characters(data, r)).decode())
-            cols = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            # the columns are inner names and numbers, so that any names may be there
+            others = iter(batch.columns[:-2])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else next(others) for c in names], names)
 
-    both = docs.select(*[c for c in names if c != text_col], F.col(id_col).alias("__i"), F.col(text_col).cast("string").alias("__t"))
+    rest = [(c, f"__c{i}") for i, c in enumerate(names) if c != text_col]
+    both = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in rest], F.col(id_col).alias("__i"), F.col(text_col).cast("string").alias("__t"))
     joined = _with_ranges(both, ranges, "__i", "__t")
-    rows = joined.select(*[c for c in names if c != text_col], "__t", F.col("__ranges").alias("__r"))
+    rows = joined.select(*[x for _, x in rest], "__t", F.col("__ranges").alias("__r"))
     schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
     return rows.mapInArrow(rewritten, schema)
 
