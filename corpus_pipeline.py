@@ -15,6 +15,7 @@ from penprint.llm import bpe, minhash, mixing, quality, suffix_dedup
 from penprint.llm.common import doc_key, dropped, id_bound_join, kept, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +39,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur again are cut out of the texts; ``n_chars`` follows."""
-    return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    """Passages of 50 words or more (or of 400 bytes) that occur again are cut out of the texts; ``n_chars`` follows.
+
+    They are found as strings of 200 bytes, less than 50 words take, so that each lies in a repeat with all its words.
+    """
+    cut = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, words=PASSAGE_WORDS)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
