@@ -109,16 +109,17 @@ def _judged(model: Evidence | None):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Evidence | None:
-    """The evidence model from labelled documents, at most ``sample`` of them, chosen by hash; None without both kinds."""
+    """The evidence model from at most ``sample`` labels and as many rows of documents, chosen by hash; None without both kinds."""
     given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y"))
     given = given.withColumn("h", F.xxhash64(F.lit(seed), "i")).orderBy("h", "i", "y").limit(sample).select("i", "y")
     given, path = kept(given)
     text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("__text"))
     rows = text.join(F.broadcast(given), "i")  # at most ``sample`` rows
-    got = rows.mapInArrow(_judged(None), "i long, __text string, y int, __x array<double>").select("i", "y", "__x").collect() if not given.isEmpty() else []
+    # ids may repeat among the documents, so the bound holds for what comes back as well
+    chosen = rows.select("i", "__text", "y").mapInArrow(_judged(None), "i long, __text string, y int, __x array<double>").select("i", "y", "__x", F.xxhash64(F.lit(seed), "i", "y", "__text").alias("h"))
+    got = chosen.orderBy("h", "i", "y", "__x").limit(sample).collect() if not given.isEmpty() else []
     dropped(docs.sparkSession, path)
     got.sort(key=lambda r: (r["i"], r["y"], r["__x"]))
-    got = got[:sample * 2]
     y = np.array([r["y"] for r in got], float)
     if not len(y) or y.min() == y.max():
         return None
@@ -142,8 +143,8 @@ def site_priors(evidence: DataFrame) -> DataFrame:
     Keys are null-safe strings. Two levels of shrinkage; strengths by moments.
     """
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(_chance(F.col("x"))).alias("s"))
-    paths, _ = kept(paths)
-    hosts, _ = kept(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")))
+    paths, paths_path = kept(paths)
+    hosts, hosts_path = kept(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")))
 
     def strength(rows: DataFrame, n: str, s: str, about: Column) -> float:
         """Documents that the prior is worth: p (1 - p) over the variance between sites that chance leaves unexplained."""
@@ -162,30 +163,48 @@ def site_priors(evidence: DataFrame) -> DataFrame:
     both = paths.join(hosts.select("host", "h"), "host")
     k_path = strength(both, "n", "s", F.col("h"))
     p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (F.col("s") + k_path * F.col("h")) / (F.col("n") + k_path)))
-    return both.select("host", "path", (F.ln(p / (1 - p)) - math.log(mean / (1 - mean))).alias("shift"), (F.col("n") > 0).alias("known"))
+    out, _ = kept(both.select("host", "path", (F.ln(p / (1 - p)) - math.log(mean / (1 - mean))).alias("shift")))
+    dropped(evidence.sparkSession, paths_path, hosts_path)
+    return out
 
 
 def _key(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(name).cast("string")), F.lit(""))
 
 
-def judge(docs: DataFrame, labels: DataFrame, cut: float = 0.5, weight: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``evidence`` (the text's own log odds), ``site`` (the prior's shift), ``quality`` (posterior) and ``accepted``.
-
-    ``weight`` is that of the site's shift; ``cut`` the posterior below which a document is rejected.
-    """
-    names = docs.columns
-    model = fit(docs.select(id_col, text_col), labels, sample, id_col=id_col, text_col=text_col)
+def _verdicts(docs: DataFrame, labels: DataFrame, cut: float, weight: float, id_col: str, text_col: str, host_col: str, path_col: str, sample: int) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under inner names, which no column of ``docs`` can clash with, with ``__e, __s, __q, __a``; and the inner name of each column."""
+    inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*inner.values())
+    ident, text, host, path = (inner[c] for c in (id_col, text_col, host_col, path_col))
+    labels = labels.select(F.col(id_col).alias(ident), "quality")
+    model = fit(rows.select(ident, text), labels, sample, id_col=ident, text_col=text)
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.withColumns({"evidence": none, "site": none, "quality": none, "accepted": F.lit(True)})
+        return rows.withColumns({"__e": none, "__s": none, "__q": none, "__a": F.lit(True)}), inner
     # the texts are read twice, for the sums by site and for the verdicts, and never shuffled
-    sites = _with_evidence(docs.select(_key(host_col).alias("host"), _key(path_col).alias("path"), F.col(text_col).cast("string").alias("__t")), model, "__t").select("host", "path", F.col("__x").alias("x"))
-    priors, _ = kept(site_priors(sites))
-    priors = priors.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "shift")
+    sites = _with_evidence(rows.select(_key(host).alias("host"), _key(path).alias("path"), F.col(text).cast("string").alias("__t")), model, "__t").select("host", "path", F.col("__x").alias("x"))
+    priors = site_priors(sites).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "shift")
     if priors.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
         priors = F.broadcast(priors)
-    rows = _with_evidence(docs, model, text_col).withColumns({"__host": _key(host_col), "__path": _key(path_col)}).join(priors, ["__host", "__path"], "left")
+    rows = _with_evidence(rows, model, text).withColumns({"__host": _key(host), "__path": _key(path)}).join(priors, ["__host", "__path"], "left")
     shift = F.coalesce("shift", F.lit(0.0))
-    quality = _chance(F.col("__x") + weight * shift)
-    return rows.select(*names, F.col("__x").alias("evidence"), shift.alias("site"), quality.alias("quality"), (quality >= cut).alias("accepted"))
+    rows = rows.withColumns({"__e": F.col("__x"), "__s": shift, "__q": _chance(F.col("__x") + weight * shift)})
+    return rows.withColumn("__a", F.col("__q") >= cut), inner
+
+
+def judge(docs: DataFrame, labels: DataFrame, cut: float = 0.5, weight: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """``docs`` with ``evidence`` (the text's own log odds), ``site`` (the prior's shift), ``quality`` (posterior) and ``accepted``.
+
+    ``weight`` is that of the site's shift; ``cut`` the posterior below which a document is rejected. Columns of ``docs`` may have
+    any names; one that has a result's name gives way to the result.
+    """
+    rows, inner = _verdicts(docs, labels, cut, weight, id_col, text_col, host_col, path_col, sample)
+    found = {"evidence": "__e", "site": "__s", "quality": "__q", "accepted": "__a"}
+    return rows.select(*[F.col(x).alias(c) for c, x in inner.items() if c not in found], *[F.col(x).alias(c) for c, x in found.items()])
+
+
+def accepted_rows(docs: DataFrame, labels: DataFrame, cut: float = 0.5, weight: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with its columns as they are, whatever their names."""
+    rows, inner = _verdicts(docs, labels, cut, weight, id_col, text_col, host_col, path_col, sample)
+    return rows.where("__a").select(*[F.col(x).alias(c) for c, x in inner.items()])

@@ -64,3 +64,22 @@ def test_without_labels_nothing_is_rejected(spark, tables):
         got = Q.judge(d, given_labels).collect()
         assert len(got) == n and all(r.accepted and r.quality is None for r in got)
     assert Q.judge(d.limit(0), labels).collect() == []
+
+
+@pytest.mark.parametrize("name", ["evidence", "site", "quality", "accepted", "shift", "host", "path", "known", "x", "i", "y", "h", "n", "s", "__text", "__x", "__host", "__path", "__c0", "__a", "a.b"])
+def test_clashing_names(spark, tables, name):
+    d, labels, _, n = tables
+    d = d.where("doc_id < 40").withColumnRenamed("extra", name)
+    want = {r.doc_id for r in Q.judge(d.drop(f"`{name}`") if "." not in name else d.select("doc_id", "text", "lang", "source"), labels).where("accepted").collect()}
+    got = Q.judge(d, labels)
+    assert len(set(got.columns)) == len(got.columns) and {r["doc_id"] for r in got.collect() if r["accepted"]} == want
+    rows = Q.accepted_rows(d, labels)
+    assert rows.columns == d.columns and {(r["doc_id"], r[name]) for r in rows.collect()} == {(i, "x") for i in want}
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    rng = random.Random(9)
+    d = spark.createDataFrame([(i % 4, prose(rng) if i % 2 else junk(rng)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    one, two = (Q.fit(x, labels, 60) for x in (d, d.repartition(7)))
+    assert one == two and one is not None
