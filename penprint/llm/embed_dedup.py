@@ -3,7 +3,9 @@
 Trees are fitted on a bounded sample: a node projects on a random direction and splits at the sample's median; vectors
 near the median go to both sides. Every vector is then sent down every tree. Vectors that meet in a leaf, with equal
 labels, are compared by cosine in double precision, large leaves in pairs of blocks; a pair counts in the first leaf that
-it shares, so no pair is found twice. Links and counts of copies give degrees, connected components give groups.
+it shares, so no pair is counted twice. Each comparison of blocks returns its vectors' numbers of links and a forest of edges, fewer
+than it has vectors, never all pairs: a group of n vectors near each other gives about n rows for each block that it fills.
+The sums of those numbers are degrees, connected components of the edges are groups.
 
 With the defaults (8 trees, spill of half the standard deviation of a projected gap at the threshold) a pair at cosine
 0.98 is parted by one tree in about 1.3 % of its nodes, and by all 8 practically never.
@@ -98,23 +100,52 @@ def _assigned(batches: Iterator[pa.RecordBatch], trees: list[Tree], size: int) -
                     own.extend((t << 32) + a for a in at)
             for i, own in zip(mine, found, strict=True):
                 codes[i] = sorted(own)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "label", "v", "size")), pa.array(codes, pa.list_(pa.int64()))], ["rep", "label", "v", "size", "codes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "label", "v", "size")), pa.array(codes, pa.list_(pa.int64()))], ["rep", "n", "label", "v", "size", "codes"])
 
 
 def _compared(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links among the rows of two blocks of a leaf (or of one with itself)."""
+    """From the links among the rows of two blocks of a leaf (or of one with itself): a row ``src, far`` for each vector with
+    the number of vectors it links with here, and rows ``src, dst`` of edges that connect what the links connect."""
     code, low, high = (group.column(c)[0].as_py() for c in ("code", "low", "high"))
-    reps, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
+    reps, block, n = (group.column(c).to_numpy() for c in ("rep", "block", "n"))
     codes = group.column("codes").to_pylist()
     x = unit(group.column("v").to_pylist())
     one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    a, b = np.nonzero(x[one] @ x[two].T >= threshold)
+    linked = (x[one] @ x[two].T >= threshold) & (reps[one][:, None] != reps[two][None, :])
+    a, b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    linked, one, two = linked[np.ix_(a, b)], one[a], two[b]
+    # pairs that share a leaf of lower number are counted there
+    lower = sorted({c for i in one.tolist() for c in codes[i] if c < code} & {c for i in two.tolist() for c in codes[i] if c < code})
+    at = {c: i for i, c in enumerate(lower)}
+    for first in range(0, len(lower), 2_048):
+        last = min(first + 2_048, len(lower))
+        held = [np.zeros((len(rows), last - first), np.float32) for rows in (one, two)]
+        for rows, h in zip((one, two), held, strict=True):
+            for k, i in enumerate(rows.tolist()):
+                h[k, [at[c] - first for c in codes[i] if c in at and first <= at[c] < last]] = 1
+        linked &= held[0] @ held[1].T == 0
+    far: dict[int, int] = {}
+    for rows, others, weight in [(one, linked, n[two]), (two, linked.T, n[one])][:1 if low == high else 2]:
+        for rep, total in zip(reps[rows].tolist(), (others @ weight).tolist(), strict=True):
+            if total:
+                far[rep] = far.get(rep, 0) + total
+    # a forest of the links: from row to row over columns not met before
     src, dst = [], []
-    for i, j in zip(one[a].tolist(), two[b].tolist(), strict=True):
-        if (low != high or i < j) and reps[i] != reps[j] and (codes[i][0] == codes[j][0] == code or min(set(codes[i]) & set(codes[j])) == code):
-            src.append(min(reps[i], reps[j]))
-            dst.append(max(reps[i], reps[j]))
-    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+    new_one, new_two = np.ones(len(one), bool), np.ones(len(two), bool)
+    for start in range(len(one)):
+        stack = [(0, start)] if new_one[start] else []
+        new_one[start] = False
+        while stack:
+            side, i = stack.pop()
+            fresh = np.flatnonzero(linked[i] & new_two) if side == 0 else np.flatnonzero(linked[:, i] & new_one)
+            (new_two if side == 0 else new_one)[fresh] = False
+            here = reps[one[i] if side == 0 else two[i]]
+            there = reps[two[fresh] if side == 0 else one[fresh]]
+            src += [int(here)] * len(fresh)
+            dst += there.tolist()
+            stack += [(1 - side, j) for j in fresh.tolist()]
+    k = len(src)
+    yield pa.RecordBatch.from_arrays([pa.array(src + list(far), pa.int64()), pa.array(dst + [None] * len(far), pa.int64()), pa.array([None] * k + list(far.values()), pa.int64())], ["src", "dst", "far"])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -138,7 +169,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
             gap = math.sqrt(max(0.0, 2 - 2 * threshold)) / math.sqrt(size)
             forest = [Tree(x, depth, gap / 2, seed * 1_000 + t) for t in range(trees)]
     label_kind = classes.schema["label"].dataType.simpleString()
-    leaves = classes.select("rep", "label", "v", "size").mapInArrow(lambda b: _assigned(b, forest, size), f"rep long, label {label_kind}, v array<double>, size int, codes array<long>")
+    leaves = classes.select("rep", "n", "label", "v", "size").mapInArrow(lambda b: _assigned(b, forest, size), f"rep long, n long, label {label_kind}, v array<double>, size int, codes array<long>")
     leaves, leaves_path = kept(leaves)
     key = ["label", "size", "code"]
     spread = leaves.select("rep", "label", "size", F.explode("codes").alias("code"))
@@ -146,11 +177,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     counts, counts_path = kept(spread.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").drop("c"))
     placed = leaves.withColumn("code", F.explode("codes")).join(counts, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(*key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "v", "codes")
-    links, links_path = kept(by_group(placed, [*key, "low", "high"], lambda t: _compared(t, threshold), "src long, dst long"))
+    placed = placed.select(*key, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "v", "codes")
+    found, links_path = kept(by_group(placed, [*key, "low", "high"], lambda t: _compared(t, threshold), "src long, dst long, far long"))
+    links = found.where("dst is not null").select("src", "dst")
     nodes, nodes_path = kept(classes.groupBy("rep").agg(F.sum("n").alias("n")))
-    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degrees, degrees_path = kept(both.join(nodes.select(F.col("rep").alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("far")))
+    degrees, degrees_path = kept(found.where("far is not null").groupBy("src").agg(F.sum("far").alias("far")))
     comp = components(links)
     per = nodes.join(degrees.withColumnRenamed("src", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     per = classes.select("digest", "rep").join(per, "rep").select("digest", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
