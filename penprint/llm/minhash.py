@@ -184,30 +184,51 @@ def _across(group: pa.Table, k: int, threshold: float) -> Iterator[pa.RecordBatc
         return c
 
     words = [np.frombuffer(r[5], np.uint32) for r in rows]
-    sets: list = [None] * len(rows)
     keys = np.array([r[6] for r in rows], np.int64)
-    src, dst = [], []
+    block, n = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
     low, high, band = rows[0][7], rows[0][8], rows[0][2]
-    for j in range(1, len(rows)):
-        # a pair that meets in an earlier bucket too is compared there
-        earlier = (keys[:j, :band] == keys[j, :band]).any(axis=1)
-        for i in range(j - 1, -1, -1):
-            if rows[i][4] < threshold * rows[j][4]:
-                break
-            if earlier[i] or {rows[i][3], rows[j][3]} != {low, high} or root(rows[i][1]) == root(rows[j][1]):
-                continue
-            for x in (i, j):
-                if sets[x] is None:
-                    s = shingles(words[x], k)
-                    sets[x] = (frozenset(s.tolist()), s)
-            both = len(sets[i][0] & sets[j][0])
-            if both >= threshold * (rows[i][4] + rows[j][4] - both) and aligned(words[i], words[j], threshold):
+    # pairs of these two blocks, and of one group no more; one that meets in an earlier bucket too is compared there
+    open_pairs = np.triu((block[:, None] == low) & (block[None, :] == high) | (block[:, None] == high) & (block[None, :] == low), 1)
+    comp = np.array([r[1] for r in rows])
+    open_pairs &= comp[:, None] != comp[None, :]
+    open_pairs &= n[:, None] >= threshold * n[None, :]  # rows are sorted by n
+    for b in range(band):
+        open_pairs &= keys[:, b][:, None] != keys[:, b][None, :]
+    src, dst = [], []
+    if open_pairs.any():
+        sets = [shingles(w, k) for w in words]
+        size = np.array([len(x) for x in sets])
+        both = shared_counts(sets)
+        open_pairs &= both >= threshold * (size[:, None] + size[None, :] - both)
+        for i, j in np.argwhere(open_pairs).tolist():
+            if root(rows[i][1]) != root(rows[j][1]) and aligned(words[i], words[j], threshold):
                 src.append(rows[i][0])
                 dst.append(rows[j][0])
                 top[root(rows[i][1])] = root(rows[j][1])
     yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
+def shared_counts(sets: list[np.ndarray], each: int = 4_096) -> np.ndarray:
+    """How many elements each two of the sets share: products of their incidence matrices, ``each`` elements at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    np.fill_diagonal(out, [len(x) for x in sets])
+    order = np.argsort(place[which], kind="stable")
+    column, owner = place[which][order], owner[order]
+    for first in range(0, len(shared), each):
+        a, b = np.searchsorted(column, [first, first + each])
+        held = np.zeros((len(sets), min(each, len(shared) - first)), np.float32)
+        held[owner[a:b], column[a:b] - first] = 1
+        part = (held @ held.T).astype(np.int64)
+        np.fill_diagonal(part, 0)
+        out += part
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, m: int = SKETCHES, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, key, class_id, kept`` for every row: the class is the least key among documents that links connect.
 
