@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lots
+from .common import lots, short_batches
 
 #: Characters in a leaf of a text, bytes in a leaf of one long match.
 LEAF, PIECE = 16_384, 2_048
@@ -129,6 +129,7 @@ def _vocabulary(spark: SparkSession, path: str):
 
 def _mapped(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, schema: str, kinds: list, row, null=""):
     shared = _vocabulary(docs.sparkSession, vocabulary)
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of an Arrow batch. Texts are long: as many rows as Spark's default would be hundreds of MB, in the JVM and in Python at once.
+BATCH_ROWS = 1_024
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on the rows of a batch to :data:`BATCH_ROWS`, unless it is lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet in the shared folder and read it back: later plans start from files, not lineage."""
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_folder(spark)}/penprint-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -119,10 +133,20 @@ def id_bound_join(big: DataFrame, small: DataFrame, path: str, key: str | list[s
 
 
 def lots(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches cut small, so that only few texts are Python objects at a time."""
+    """Batches cut small, so that only few texts are Python objects at a time; at the end the worker's free memory goes back."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    returned()
+
+
+def returned() -> None:
+    """Give free memory back to the system: a worker lives on after its task, and would hold the most that it ever took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
@@ -149,5 +173,7 @@ def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
             last = marks[-1]  # noqa: F841
         if held:
             yield from fn(pa.Table.from_batches(held))
+        held = []
+        returned()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

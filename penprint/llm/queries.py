@@ -65,6 +65,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_mix_sources, op3_embed_dedup, op4_byte_bpe, op5_suffix_dedup, op6_license_scan, op7_quality_classifier, op8_order_minhash, op9_exact_topk, op10_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_embed_dedup": r"""
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS s, b.vec_id AS t FROM e a JOIN e b ON a.label = b.label AND len(a.f) = len(b.f) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.f, b.f) >= 0.98),
+r AS (SELECT vec_id AS v, vec_id AS u FROM embeddings UNION SELECT r.v, l.t FROM r JOIN l ON r.u = l.s),
+c AS (SELECT v, min(u) AS component_id FROM r GROUP BY 1), n AS (SELECT s, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON v = vec_id LEFT JOIN n ON s = vec_id""",
     "op9_exact_topk": r"""
 WITH v AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
