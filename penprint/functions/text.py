@@ -211,6 +211,13 @@ def syllables(token: Column) -> Column:
     return F.when(word == "", 0).otherwise(F.coalesce(F.try_element_at(known, word), guess))
 
 
+def syllable_counts(words: Column) -> Column:
+    """:func:`syllables` of an array of words that :func:`alpha` has made: groups are counted once for each, dictionary and ending looked up beside."""
+    known = F.create_map(*[F.lit(x) for pair in SYLLABLES.items() for x in pair])
+    counted = F.transform(words, lambda w: F.struct(w.alias("w"), F.regexp_count(w, F.lit("[aeiouy]+")).alias("g")))
+    return F.transform(counted, lambda s: F.when(s["w"] == "", 0).otherwise(F.coalesce(F.try_element_at(known, s["w"]), F.greatest(F.lit(1), s["g"] - F.when((s["g"] > 1) & s["w"].endswith("e"), 1).otherwise(0)))))
+
+
 def syllable_result(token: Column) -> Column:
     """``raw, normalized, count, source`` of a token."""
     word = alpha(token)

@@ -167,3 +167,28 @@ class Replay:
 def repeated_run_audit(rows: DataFrame) -> DataFrame:
     """Over rows of ``doc_id, feature, run, value``: variance between runs and whether all agree."""
     return rows.groupBy("doc_id", "feature").agg(F.var_pop("value").alias("variance"), (F.count_distinct("value") == 1).alias("agree"), F.count("*").alias("runs"))
+
+
+def paraphrase_audit(rows: DataFrame) -> DataFrame:
+    """Over rows of ``doc_id, feature, request, value``, one for each wording of the question: how many wordings, and the variance of their values."""
+    return rows.groupBy("doc_id", "feature").agg(F.count_distinct("request").alias("variants"), F.var_pop("value").alias("variance"), F.array_sort(F.collect_set("request")).alias("requests"))
+
+
+def fake_annotations(docs: DataFrame, answers: DataFrame, names: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, feature, value, reason`` from a table ``doc_id, feature, value`` instead of a provider; what it lacks is null, with a reason."""
+    if unknown := sorted(set(names) - set(TEMPLATES)):
+        raise ValueError(f"no such feature: {unknown[0]}")
+    asked = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"))
+    known = answers.groupBy("doc_id", "feature").agg(F.min("value").alias("value"), F.count("*").alias("times"))
+    both = asked.join(known, ["doc_id", "feature"], "left")
+    value = F.when(F.col("times") == 1, F.col("value"))
+    reason = F.when(F.col("times").isNull(), "not_annotated").when(F.col("times") > 1, "annotated_twice").when(value.isNull(), "null_value")
+    return both.select("doc_id", "feature", value.alias("value"), reason.alias("reason"))
+
+
+def vector_columns(rows: DataFrame, name: str, width: int, vector_col: str = "vector") -> DataFrame:
+    """``doc_id`` and a column ``name::dim_0000`` and so on for each component; a vector of another width stops the query."""
+    if width < 1:
+        raise ValueError("a width of at least 1")
+    vector = F.when(F.col(vector_col).isNull() | (F.size(vector_col) == width), F.col(vector_col)).otherwise(F.raise_error(F.concat(F.lit("vector of width "), F.size(vector_col).cast("string"), F.lit(f", not {width}"))).cast("array<double>"))
+    return rows.withColumn("__v", vector).select("doc_id", *[F.get("__v", F.lit(i)).alias(f"{name}::dim_{i:04d}") for i in range(width)])

@@ -29,13 +29,10 @@ def reduce_dimensions(rows: DataFrame, k: int, method: str = "pca") -> DataFrame
     size = len(rows.select("features").first()[0])
     if not 1 <= k <= size:
         raise ValueError(f"between 1 and {size} components")
-    # the Gram matrix of the features, summed over all rows: as large as the vectors are long, squared
-    pair = rows.select(F.posexplode("features").alias("i", "x"), F.col("features").alias("f")).select("i", F.posexplode("f").alias("j", "y"), "x")
-    sums = pair.where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
-    means = np.array([r["m"] for r in rows.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()])
-    n, gram = rows.count(), np.zeros((size, size))
-    for r in sums:
-        gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["s"]
+    from penprint.operators.representations import gram as sums
+
+    # the Gram matrix of the features, added up by partition: as large as the vectors are long, squared
+    n, means, gram = sums(rows)
     if method == "pca":
         gram -= n * np.outer(means, means)
     _, axes = np.linalg.eigh(gram)

@@ -48,6 +48,8 @@ def _matching(array: Column, pattern: str) -> Column:
 
 # --- hyphens
 
+# Prefixes, and pairs of spellings.
+
 PREFIXES = ("anti", "co", "non", "post", "pre", "pro", "re", "self")
 #: pair: (solid, hyphenated)
 HYPHEN_PAIRS = {"email_e_mail": ("email", "e-mail"), "reenter_re_enter": ("reenter", "re-enter"), "cooperate_co_operate": ("cooperate", "co-operate"), "longterm_long_term": ("longterm", "long-term")}
@@ -92,52 +94,65 @@ def _of_kind(kind: str):
 
 # --- characters
 
-#: General categories of Unicode, in the order of their columns.
+# Results depend on these tables. General categories of Unicode, in the order of their columns; and ranges of code points that
+# count as a script, first and last (only letters in them do).
 CATEGORIES = ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Zp", "Cc", "Cf", "Cs", "Co", "Cn")
-#: Ranges of code points that count as a script; only letters in them do.
 SCRIPTS = {
-    "latin": "0041-005A 0061-007A 00C0-024F 1E00-1EFF", "greek": "0370-03FF 1F00-1FFF", "cyrillic": "0400-052F 2DE0-2DFF A640-A69F", "hebrew": "0590-05FF", "arabic": "0600-06FF 0750-077F 08A0-08FF", "devanagari": "0900-097F",
-    "hiragana": "3040-309F", "katakana": "30A0-30FF 31F0-31FF", "hangul": "1100-11FF 3130-318F AC00-D7AF", "cjk_unified_ideograph": "3400-4DBF 4E00-9FFF F900-FAFF", "thai": "0E00-0E7F", "armenian": "0530-058F", "georgian": "10A0-10FF 1C90-1CBF",
-    "bengali": "0980-09FF", "tamil": "0B80-0BFF", "ethiopic": "1200-137F",
+    "latin": ((0x0041, 0x005A), (0x0061, 0x007A), (0x00C0, 0x024F), (0x1E00, 0x1EFF),), "greek": ((0x0370, 0x03FF), (0x1F00, 0x1FFF),),
+    "cyrillic": ((0x0400, 0x052F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F),), "hebrew": ((0x0590, 0x05FF),), "arabic": ((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF),),
+    "devanagari": ((0x0900, 0x097F),), "hiragana": ((0x3040, 0x309F),), "katakana": ((0x30A0, 0x30FF), (0x31F0, 0x31FF),), "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF),),
+    "cjk_unified_ideograph": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),), "thai": ((0x0E00, 0x0E7F),), "armenian": ((0x0530, 0x058F),), "georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF),),
+    "bengali": ((0x0980, 0x09FF),), "tamil": ((0x0B80, 0x0BFF),), "ethiopic": ((0x1200, 0x137F),),
 }
-#: Digits beyond the decimal ones, such as superscripts and circled digits.
+# Digits beyond the decimal ones, such as superscripts and circled digits.
 OTHER_DIGITS = r"²³¹፩-፱᧚⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}"
 CHARACTER_CLASSES = {
     "unicode_letter": r"\p{L}", "ascii_letter": "[A-Za-z]", "non_ascii_letter": r"[\p{L}&&[^A-Za-z]]", "digit": rf"[\p{{Nd}}{OTHER_DIGITS}]", "punctuation": r"\p{P}", "symbol": r"\p{S}", "whitespace": f"[{X.SPACE}]", "mark": r"\p{M}", "control_format_other": r"\p{C}",
 }
 
 
-def script_pattern(ranges: str) -> str:
-    inside = "".join(rf"\x{{{a}}}-\x{{{b}}}" for a, b in (r.split("-") for r in ranges.split()))
+def script_pattern(ranges: tuple[tuple[int, int], ...]) -> str:
+    inside = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
     return rf"[\p{{L}}&&[{inside}]]"
 
 
 def orthography_block() -> Block:
-    base, n, letters, raw = "text::orthography_profile", F.length("raw"), F.col("n_letters"), F.col("raw")
-    codes = F.col("codepoints")
+    base, n, letters, characters = "text::orthography_profile", F.length("raw"), F.col("n_letters"), F.col("characters")
+    codes = F.transform(characters, lambda x: x["code"])
     empty, no_letters = F.lit("empty_text"), F.lit("zero_alphabetic_characters")
     features = [
-        Feature(f"{base}::codepoint_count", n), Feature(f"{base}::unique_codepoint_count", F.size(F.array_distinct(codes))), Feature(f"{base}::codepoint_min", F.array_min(codes), empty), Feature(f"{base}::codepoint_max", F.array_max(codes), empty),
-        Feature(f"{base}::codepoint_mean", ratio(X.total(codes, kind="long"), n), empty),
+        Feature(f"{base}::codepoint_count", n), Feature(f"{base}::unique_codepoint_count", F.size(characters)), Feature(f"{base}::codepoint_min", F.array_min(codes), empty), Feature(f"{base}::codepoint_max", F.array_max(codes), empty),
+        Feature(f"{base}::codepoint_mean", ratio(X.total(characters, lambda x: x["code"].cast("long") * x["n"], "long"), n), empty),
     ]
+    # a text has few distinct characters: each is classified once, and stands for as many as there are
+    of = lambda test: X.total(F.filter("characters", test), lambda x: x["n"], "int")
     for k, pattern in CHARACTER_CLASSES.items():
-        features += counted(lambda m, k=k: f"{base}::character_class={k}::{m}", X.count(raw, pattern), n, "per_character", "empty_text", 1.0)
+        features += counted(lambda m, k=k: f"{base}::character_class={k}::{m}", of(_like(pattern)), n, "per_character", "empty_text", 1.0)
     for k in CATEGORIES:
-        features += counted(lambda m, k=k: f"{base}::unicode_category={k}::{m}", X.count(raw, rf"\p{{{k}}}"), n, "per_character", "empty_text", 1.0)
+        features += counted(lambda m, k=k: f"{base}::unicode_category={k}::{m}", of(_like(rf"\p{{{k}}}")), n, "per_character", "empty_text", 1.0)
     for k, ranges in SCRIPTS.items():
-        found = X.count(raw, script_pattern(ranges))
+        found = of(_like(script_pattern(ranges)))
         features += counted(lambda m, k=k: f"{base}::script={k}::{m}", found, n, "per_character", "empty_text", 1.0)
         features.append(Feature(f"{base}::script={k}::per_alpha", ratio(found, letters), no_letters))
     for c in "abcdefghijklmnopqrstuvwxyz":
-        found = X.occurrences(F.col("lower_raw"), c)
+        found = of(_lowered_to(c))
         features += [Feature(f"{base}::latin_letter={c}::per_alpha", ratio(found, letters), no_letters), Feature(f"{base}::latin_letter={c}::per_character", ratio(found, n), empty)]
-    points = F.when(n > 0, F.transform(F.split("raw", ""), F.ascii)).otherwise(F.array().cast("array<int>"))
-    return Block("orthography", tuple(features), ({"codepoints": points, "n_letters": X.count(raw, r"\p{L}")},))
+    every = F.when(n > 0, F.array_sort(F.split("raw", ""))).otherwise(X.no_strings())
+    histogram = F.zip_with(F.array_distinct("sorted_characters"), X.run_lengths(F.col("sorted_characters")), lambda c, k: F.struct(c.alias("c"), F.lower(c).alias("low"), F.ascii(c).alias("code"), k.alias("n")))
+    return Block("orthography", tuple(features), ({"sorted_characters": every}, {"characters": histogram}, {"n_letters": of(_like(r"\p{L}"))}))
+
+
+def _like(pattern: str):
+    return lambda x: x["c"].rlike(pattern)
+
+
+def _lowered_to(letter: str):
+    return lambda x: x["low"].contains(letter)
 
 
 # --- punctuation
 
-#: mark: (character, classes, what it is at the end of a sentence)
+# Mark: (character, classes, what it is at the end of a sentence)
 PUNCTUATION = {
     "period": (".", ("terminal",), "period"), "comma": (",", ("comma",), None), "semicolon": (";", ("semicolon_colon",), None), "colon": (":", ("semicolon_colon",), None), "exclamation": ("!", ("terminal",), "exclamation"),
     "question": ("?", ("terminal",), "question"), "hyphen_minus": ("-", ("dash",), None), "en_dash": ("–", ("dash",), None), "em_dash": ("—", ("dash",), None), "ellipsis": ("…", ("terminal", "ellipsis"), "ellipsis"), "apostrophe": ("'", ("apostrophe",), None),
@@ -149,7 +164,8 @@ FINALS = {final: char for char, _, final in PUNCTUATION.values() if final}
 
 
 def punctuation_block() -> Block:
-    base, n, s, raw = "text::punctuation_profile", F.size("tokens"), F.size("sentences"), F.col("raw")
+    # the text's marks alone: all that is counted below is counted in these few
+    base, n, s, raw = "text::punctuation_profile", F.size("tokens"), F.size("sentences"), F.col("only_marks")
     among = lambda chars: F.length(raw) - F.length(F.translate(raw, chars, ""))
     def three(name: str, count: Column) -> list[Feature]:
         return [Feature(f"{base}::{name}::count", count), Feature(f"{base}::{name}::per_1000_tokens", ratio(count, n, 1000.0), F.lit("zero_tokens")), Feature(f"{base}::{name}::per_sentence", ratio(count, s), F.lit("zero_sentences"))]
@@ -161,7 +177,7 @@ def punctuation_block() -> Block:
     for final in (*FINALS, "no_terminal_punctuation"):
         found = X.where_size(F.col("final_marks"), _final(final))
         features += counted(lambda m, f=final: f"{base}::sentence_final={f}::{m}", found, s, "ratio", "zero_sentences", 1.0)
-    return Block("punctuation", tuple(features), ({"final_marks": F.transform("sentences", lambda x: F.right(X.stripped_right(x), F.lit(1)))},))
+    return Block("punctuation", tuple(features), ({"only_marks": F.regexp_replace("raw", "[^" + "".join(f"\\x{{{ord(c):X}}}" for c, *_ in PUNCTUATION.values()) + "]+", ""), "final_marks": F.transform("sentences", lambda x: F.right(X.stripped_right(x), F.lit(1)))},))
 
 
 def _final(kind: str):
@@ -170,6 +186,8 @@ def _final(kind: str):
 
 # --- quotes and dialogue
 
+# Speakers and verbs of speech.
+
 SPEAKER, SPEECH = r"(I|you|he|she|they|we|it|[A-Z][A-Za-z]+)", r"(said|asked|replied|whispered|shouted|murmured|answered)"
 TAGS = {
     "pre_quote_speaker_verb": rf"(?<![{X.WORD}]){SPEAKER}[ \t]+{SPEECH}[ \t]*,?[ \t]*[\"“‘']", "post_quote_speaker_verb": rf"[\"”’][ \t]*,?[ \t]*{SPEAKER}[ \t]+{SPEECH}(?![{X.WORD}])",

@@ -44,7 +44,7 @@ def richness_columns() -> tuple[dict[str, Column], ...]:
         # a column of its own: an expression inside a lambda would be computed for each item
         {"sorted_tokens": F.transform("occurrences", lambda o: o["t"]), "earlier": earlier},
         {"type_frequencies": F.array_sort(X.run_lengths(F.col("sorted_tokens")))},
-        {"n_types": F.size("type_frequencies"), "hapax": X.where_size(F.col("type_frequencies"), lambda f: f == 1), "dis": X.where_size(F.col("type_frequencies"), lambda f: f == 2), "sum_squares": X.total(F.col("type_frequencies"), lambda f: f.cast("double") * f)},
+        {"n_types": F.size(F.array_distinct("tokens")), "hapax": X.where_size(F.col("type_frequencies"), lambda f: f == 1), "dis": X.where_size(F.col("type_frequencies"), lambda f: f == 2), "sum_squares": X.total(F.col("type_frequencies"), lambda f: f.cast("double") * f)},
         {"frequency_spectrum": F.transform(F.array_distinct("type_frequencies"), lambda f: F.struct(f.alias("f"), X.where_size(F.col("type_frequencies"), lambda g: g == f).alias("types")))},
     )
 
@@ -118,8 +118,9 @@ def vocd_by_length(view: DataFrame, seed: str = VOCD_SEED) -> DataFrame:
 
 def length_columns(config) -> tuple[dict[str, Column], ...]:
     return (
-        {"n_tokens": F.size("tokens"), "word_lengths": F.transform("tokens", F.length), "word_syllables": F.transform("tokens", X.syllables), "sentence_lengths": F.transform("sentences", lambda s: X.token_count(s, config)),
+        {"n_tokens": F.size("tokens"), "word_lengths": F.transform("tokens", F.length), "bare_words": F.transform("tokens", X.alpha), "sentence_lengths": F.transform("sentences", lambda s: X.token_count(s, config)),
          "paragraph_lengths": F.transform("paragraphs", lambda p: X.token_count(p, config)), "line_lengths": F.transform("lines", F.length)},
+        {"word_syllables": X.syllable_counts(F.col("bare_words"))},
         {"n_syllables": X.total(F.col("word_syllables"), kind="long"), "n_characters": X.total(F.col("word_lengths"), kind="long"), "n_sentences": F.size("sentences")},
     )
 

@@ -16,6 +16,7 @@ from penprint.operators.scalar import scalar_block, vocd_by_length
 from penprint.plans import blocks as B
 from penprint.plans.view import document_view
 from penprint.sql import oracle
+from penprint.sql import profiles as profile_sql
 
 PLACES = 6
 
@@ -265,4 +266,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_masking": syntax_query(lambda: [syntax.masking_block(("NOUN",))]), "masked_texts": masked_texts, **{f"syntax_{k}": syntax_vocabulary(k) for k in syntax.fitted_blocks()},
 }
 
-ORACLE_SQL: dict[str, str] = oracle.statements(snake, lexicon)
+ORACLE_SQL: dict[str, str] = oracle.statements(snake, lexicon) | profile_sql.statements(lambda n: snake(f"text::{n}"), lexicon)

@@ -213,6 +213,8 @@ UNION ALL SELECT doc_id, 'email', md5(regexp_replace(nfc_normalize(array_to_stri
     s["threshold_verification"] = VECTOR + " SELECT a.vec_id AS left_id, b.vec_id AS right_id, 1 - list_cosine_similarity(a.f, b.f) <= 0.9 AS accepted FROM e a JOIN e b ON b.vec_id = a.vec_id + 2"
     s["nearest_centroid"] = VECTOR + """, x AS (SELECT label, unnest(f) AS x, unnest(range(len(f))) AS i FROM e WHERE label IS NOT NULL AND vec_id % 2 = 0), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1),
 r AS (SELECT vec_id AS doc_id, c.label AS prediction, list_distance(f, c) AS d FROM e CROSS JOIN c WHERE e.label IS NOT NULL AND vec_id % 2 = 1) SELECT doc_id, CAST(arg_min(prediction, (d, prediction)) AS BIGINT) AS prediction, round(min(d), 6) AS distance FROM r GROUP BY doc_id"""
+    s["nearest_centroid_all"] = VECTOR + """, x AS (SELECT label, unnest(f) AS x, unnest(range(len(f))) AS i FROM e WHERE label IS NOT NULL), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1),
+r AS (SELECT vec_id AS doc_id, c.label AS prediction, list_distance(f, c) AS d FROM e CROSS JOIN c) SELECT doc_id, CAST(arg_min(prediction, (d, prediction)) AS BIGINT) AS prediction, round(min(d), 6) AS distance FROM r GROUP BY 1"""
     bench = "FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id AND"
     s["hard_negative_pairs"] = f"SELECT a.item_id AS left_id, b.item_id AS right_id {bench} a.item_id % 3 = b.item_id % 3 AND a.item_id % 5 <> b.item_id % 5"
     s["topic_shift_pairs"] = f"SELECT a.item_id AS left_id, b.item_id AS right_id {bench} a.item_id % 5 = b.item_id % 5 AND a.item_id % 3 <> b.item_id % 3"
@@ -260,7 +262,7 @@ def _orthography(name) -> str:
     from penprint.operators.profiles import SCRIPTS
 
     for k, ranges in SCRIPTS.items():
-        inside = "".join(rf"\x{{{a}}}-\x{{{b}}}" for a, b in (r.split("-") for r in ranges.split()))
+        inside = "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in ranges)
         e = f"len(list_filter(regexp_extract_all(raw, '[{inside}]'), lambda c: regexp_matches(c, '\\p{{L}}')))"
         cols |= {name(f"{base}::script={k}::count"): e, name(f"{base}::script={k}::per_character"): per(e, n), name(f"{base}::script={k}::per_alpha"): per(e, letters)}
     for c in "abcdefghijklmnopqrstuvwxyz":
