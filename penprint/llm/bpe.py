@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import lots, short_batches
 
 #: Characters in a leaf of a text, bytes in a leaf of one long match.
-LEAF, PIECE = 16_384, 2_048
+LEAF, PIECE = 256, 2_048
 #: A vocabulary file above this isn't broadcast.
 MOST_VOCABULARY = 64 << 20
 #: Runs that the pattern matches as one, whatever the version of Unicode.
