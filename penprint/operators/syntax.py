@@ -162,12 +162,10 @@ def pos_density_block() -> Block:
 
 def passive_block() -> Block:
     """Heads in the passive voice with a passive auxiliary and a passive subject, for each clause."""
-    arcs = F.col("arcs")
-    def passive(t: Column, i: Column) -> Column:
-        child = lambda relation: F.exists(arcs, lambda a: (a["head"] == i) & (a["relation"] == relation))
-        voice = F.exists(t["morphology"], lambda m: (m["attribute"] == "Voice") & (m["value"] == "Pass"))
-        return F.coalesce(voice & child("aux:pass") & child("nsubj:pass"), F.lit(False))
-    return Block("passive_voice", (Feature("text::syntax::passive_voice_frequency", ratio(F.size(F.filter("tokens", passive)), F.col("clause_count")), F.lit("zero_clause_count")),))
+    heads = lambda relation: F.transform(F.filter("arcs", lambda a: a["head"].isNotNull() & (a["relation"] == relation)), lambda a: a["head"])
+    passive = lambda i: F.exists(_at(F.col("tokens"), i)["morphology"], lambda m: (m["attribute"] == "Voice") & (m["value"] == "Pass"))
+    found = F.filter("passive_heads", lambda i: F.coalesce(passive(i), F.lit(False)))
+    return Block("passive_voice", (Feature("text::syntax::passive_voice_frequency", ratio(F.size(found), F.col("clause_count")), F.lit("zero_clause_count")),), ({"passive_heads": F.array_intersect(heads("aux:pass"), heads("nsubj:pass"))},))
 
 
 def entity_density_block(types: Sequence[str]) -> Block:

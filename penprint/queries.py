@@ -216,11 +216,18 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns({"entities": entity} | {k: v.cast("long") for k, v in counts.items()})
 
 
-def syntax_query(make: Callable[[], list[B.Block]]):
+def branching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same passages as trees in which every token has two that hang on it, as long as there are any, in the relations of a passive clause among others."""
+    relation = F.array(*[F.lit(r) for r in ("nsubj:pass", "obj:x", "aux:pass", "case")])
+    arcs = F.transform("tokens", lambda t, i: F.struct(F.when(i > 0, F.floor((i - 1) / 2).cast("int")).alias("head"), i.alias("dep"), F.when(i == 0, "root").otherwise(F.get(relation, F.length(t["text"]) % 4)).alias("relation")))
+    return parsed(spark, sf_dir).withColumn("arcs", arcs)
+
+
+def syntax_query(make: Callable[[], list[B.Block]], source: Callable[[SparkSession, str], DataFrame] = parsed):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = make()
         names = {n: snake(n) for b in made for n in b.names}
-        rows = B.wide(syntax.check_parsed(parsed(spark, sf_dir)), made, names)
+        rows = B.wide(syntax.check_parsed(source(spark, sf_dir)), made, names)
         return rows.select("doc_id", *[rounded(F.col(c)).alias(c) for c in names.values()])
     return run
 
@@ -261,8 +268,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "most_frequent_words": most_frequent_words, "term_frequencies": term_frequencies, "word_ngrams": vocabulary("word", 1, 2, 100), "function_word_ngrams": vocabulary("function_word", 1, 2, 100), "char_ngrams": vocabulary("char", 3, 3, 100), "punctuation_ngrams": vocabulary("punctuation", 1, 3, 50),
     "z_scores": z_scores, "burrows_delta": burrows_delta, "cosine_pairs": vector_pairs("cosine"), "euclidean_pairs": vector_pairs("euclidean"), "threshold_verification": threshold_verification, "nearest_centroid": nearest_centroid, "nearest_centroid_all": nearest_centroid_all,
     "hard_negative_pairs": hard_negatives, "topic_shift_pairs": topic_shifts, "cross_topic_holdout": holdout, "effect_sizes": effect_sizes, "length_sensitivity": length_sensitivity, "split_diagnostics": split_diagnostics, "dense_index": dense_index, "content_mask": content_mask, "review_packet": review_packet,
-    "pos_frequency": syntax_query(lambda: [syntax.pos_frequency_block(), syntax.pos_density_block()]), "dependency_relations": syntax_query(lambda: [syntax.relation_block()]), "dependency_distance": syntax_query(lambda: [syntax.distance_block()]), "parse_depth": syntax_query(lambda: [syntax.parse_depth_block()]),
-    "syntactic_complexity": syntax_query(lambda: [syntax.complexity_block()]), "passive_voice": syntax_query(lambda: [syntax.passive_block()]), "entity_density": syntax_query(lambda: [syntax.entity_density_block(("ORG", "PERSON"))]), "root_statistics": syntax_query(lambda: [syntax.root_block()]),
+    "pos_frequency": syntax_query(lambda: [syntax.pos_frequency_block(), syntax.pos_density_block()]), "dependency_relations": syntax_query(lambda: [syntax.relation_block()]), "dependency_distance": syntax_query(lambda: [syntax.distance_block()], branching), "parse_depth": syntax_query(lambda: [syntax.parse_depth_block()], branching),
+    "syntactic_complexity": syntax_query(lambda: [syntax.complexity_block()]), "passive_voice": syntax_query(lambda: [syntax.passive_block()], branching), "entity_density": syntax_query(lambda: [syntax.entity_density_block(("ORG", "PERSON"))]), "root_statistics": syntax_query(lambda: [syntax.root_block()]),
     "content_masking": syntax_query(lambda: [syntax.masking_block(("NOUN",))]), "masked_texts": masked_texts, **{f"syntax_{k}": syntax_vocabulary(k) for k in syntax.fitted_blocks()},
 }
 

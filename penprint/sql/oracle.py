@@ -278,11 +278,14 @@ def _syntax(snake) -> dict[str, str]:
     us = lambda u: f"len(list_filter(us, lambda x: x = '{u}'))"
     s["pos_frequency"] = PARSED + "\n" + out({name(f"syntax::pos_frequency::upos={u}"): per(us(u), "n") for u in UPOS} | {name("syntax::pos_lexical_density"): per("len(list_filter(us, lambda x: x IN ('ADJ', 'ADV', 'NOUN', 'VERB')))", "n")}, "pd")
     s["dependency_relations"] = PARSED + "\n" + out({name(f"syntax::dependency_relation_frequency::deprel={r}"): per(f"len(list_filter(rels, lambda x: string_split(x, ':')[1] = '{r}'))", "n") for r in RELATIONS}, "pd")
-    s["dependency_distance"] = moments("SELECT doc_id, list_transform(range(greatest(0, n - 1)), lambda i: 1) AS a FROM pd", PARSED, snake, "text::syntax::dependency_distance_")
-    s["parse_depth"] = moments("SELECT doc_id, range(n) AS a FROM pd", PARSED, snake, "text::syntax::parse_depth_")
+    s["dependency_distance"] = moments("SELECT doc_id, list_transform(range(1, greatest(1, n)), lambda i: i - (i - 1) // 2) AS a FROM pd", PARSED, snake, "text::syntax::dependency_distance_")
+    s["parse_depth"] = moments("SELECT doc_id, list_transform(range(n), lambda i: length(bin(i + 1)) - 1) AS a FROM pd", PARSED, snake, "text::syntax::parse_depth_")
     counts = {"word_count": "n", "sentence_count": "2", "clause_count": "(n % 7)", "t_unit_count": "3", "dependent_clause_count": "(n % 3)", "coordinate_phrase_count": "(n % 5)", "complex_nominal_count": "(n % 4)", "verb_phrase_count": "(n % 6)"}
     s["syntactic_complexity"] = PARSED + "\n" + out({name(f"syntax::syntactic_complexity::{k}"): per(counts[a], counts[b]) for k, (a, b) in COMPLEXITY.items()} | {"syntax_clause_count": "n % 7", "syntax_t_unit_count": "3", "syntax_subordination_ratio": per("(n % 3)", "(n % 7)"), "syntax_coordination_ratio": per("(n % 5)", "3")}, "pd")
-    s["passive_voice"] = PARSED + "\n" + out({"syntax_passive_voice_frequency": per("0", "(n % 7)")}, "pd")
+    s["passive_voice"] = PARSED + """, ch AS (SELECT doc_id, (i - 1) // 2 AS h, ['nsubj:pass', 'obj:x', 'aux:pass', 'case'][length(t) % 4 + 1] AS r FROM tk WHERE i > 0),
+hs AS (SELECT doc_id, h FROM ch GROUP BY 1, 2 HAVING bool_or(r = 'aux:pass') AND bool_or(r = 'nsubj:pass')), ps AS (SELECT hs.doc_id, count(*) AS k FROM hs JOIN tk ON tk.doc_id = hs.doc_id AND tk.i = hs.h WHERE length(t) % 2 = 0 GROUP BY 1),
+pv AS (SELECT pd.doc_id, n, coalesce(k, 0) AS k FROM pd LEFT JOIN ps USING (doc_id))
+""" + out({"syntax_passive_voice_frequency": per("k", "(n % 7)")}, "pv")
     s["entity_density"] = PARSED + "\n" + out({name(f"{scope}::named_entity_density::entity_type={t}"): per("1" if t == "ORG" else "0", "n") for scope in ("style_adjacent", "content_control") for t in ("ORG", "PERSON")}, "pd")
     s["root_statistics"] = PARSED + "\n" + out({"syntax_root_statistics_root_count": "least(n, 1)", "syntax_root_statistics_root_per_token": per("least(n, 1)", "n")} | {name(f"syntax::root_statistics::root_upos_ratio::upos={u}"): f"CASE WHEN n > 0 THEN CASE WHEN root = '{u}' THEN 1 ELSE 0 END END" for u in UPOS}, "pd")
     s["content_masking"] = PARSED + ", mk AS (SELECT pd.doc_id, max(pd.n) AS n, coalesce(sum(CASE WHEN u = 'NOUN' OR i IN (1, 2) THEN 1 ELSE 0 END), 0) AS m FROM pd LEFT JOIN tg USING (doc_id) GROUP BY 1)\n" + out({name("content_control::topic_neutral_distortion::masked_token_ratio"): per("m", "n")}, "mk")
