@@ -90,6 +90,17 @@ def topic_shift_pairs(rows: DataFrame, author: str = "author", topic: str = "top
     return _paired(rows, author, topic, id_col)
 
 
+def pair_counts(rows: DataFrame, author: str = "author", topic: str = "topic", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, hard_negatives, topic_shifts``: with how many others each row makes such pairs. Counts by group are joined back, so it grows with the rows and not with the pairs;
+    the pairs of one row are those of its group, from which :func:`hard_negative_pairs` gives them."""
+    base = rows.select(F.col(id_col).alias("doc_id"), F.col(author).alias("a"), F.col(topic).alias("t"))
+    cells = base.where("a is not null and t is not null").groupBy("a", "t").agg(F.count("*").alias("both"))
+    by = lambda c, name: cells.groupBy(c).agg(F.sum("both").alias(name))
+    sums = cells.join(by("t", "in_topic"), "t").join(by("a", "of_author"), "a")
+    found = base.join(sums, ["a", "t"], "left")
+    return found.select("doc_id", F.coalesce(F.col("in_topic") - F.col("both"), F.lit(0)).alias("hard_negatives"), F.coalesce(F.col("of_author") - F.col("both"), F.lit(0)).alias("topic_shifts"))
+
+
 def _paired(rows: DataFrame, same: str, other: str, id_col: str) -> DataFrame:
     a = rows.select(F.col(same).alias("s"), F.col(other).alias("oa"), F.col(id_col).alias("left_id"))
     b = rows.select(F.col(same).alias("s"), F.col(other).alias("ob"), F.col(id_col).alias("right_id"))

@@ -67,6 +67,7 @@ def nmf(rows: DataFrame, k: int, rounds: int = 30, steps: int = 30, seed: int =
     if rows.where(F.exists("features", lambda v: v.isNull() | F.isnan(v) | (v < 0))).limit(1).count():
         raise ValueError("components of at least 0")
     size = first[0]
+    rows = rows.select("doc_id", F.col("features").cast("array<double>").alias("features")).persist()  # every round reads it; what is lost is made again
     mean = _sums(rows, lambda x: np.concatenate([[len(x)], x.sum(axis=0)]), size + 1)
     h = np.random.default_rng(seed).random((k, size)) + 0.1
     h *= np.maximum(mean[1:] / max(1.0, mean[0]), 1e-9)

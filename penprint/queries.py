@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from penprint.config import ENGLISH
 from penprint.functions import text as X
 from penprint.functions.lexicons import lexicon
-from penprint.operators import distributions, evaluation, fitted, lexical, profiles, syntax
+from penprint.judged import queries as judged
+from penprint.operators import distributions, evaluation, fitted, lexical, models, profiles, representations, syntax
 from penprint.operators.scalar import scalar_block, vocd_by_length
 from penprint.plans import blocks as B
 from penprint.plans.view import document_view
@@ -142,17 +143,55 @@ def threshold_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held out: means of the labelled vectors of even id, predictions of those of odd id."""
-    rows = vectors(spark, sf_dir).where("label is not null")
-    return evaluation.nearest_centroid(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), id_col="vec_id").select("doc_id", F.col("prediction").cast("long").alias("prediction"), rounded(F.col("distance")).alias("distance"))
-
-
-def nearest_centroid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every vector, by the means of all that have a label."""
     rows = vectors(spark, sf_dir)
     return evaluation.nearest_centroid(rows.where("label is not null"), rows, id_col="vec_id").select("doc_id", F.col("prediction").cast("long").alias("prediction"), rounded(F.col("distance")).alias("distance"))
 
 
+def named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
+
+
+def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.reduce_dimensions(named_vectors(spark, sf_dir), 4).select("doc_id", "components")
+
+
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.cluster(named_vectors(spark, sf_dir), 8, starts=3).select("doc_id", "cluster")
+
+
+def logistic_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on every labelled vector, with a prediction for every vector."""
+    rows = named_vectors(spark, sf_dir)
+    return models.train_classifier(rows.where("label is not null"))(rows).select("doc_id", F.col("prediction").cast("long").alias("prediction"))
+
+
+def one_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = named_vectors(spark, sf_dir)
+    return representations.one_class_scores(rows, rows, 0.2).select("doc_id", "score")
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, features``: how often each function word occurs in a document."""
+    rows = view(spark, sf_dir)
+    return rows.select("doc_id", F.array(*[X.times(F.col("tokens"), w).cast("double") for w in lexicon("function_words").tokens]).alias("features"))
+
+
+def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representations.nmf(word_counts(spark, sf_dir), 4, rounds=10)[0]
+
+
+def two_way_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features(spark, sf_dir).where("feature = 'tokens'")
+    found = models.two_way_anova(rows)
+    return spark.createDataFrame([(r.factor, r.sum_squares, r.df, r.f, r.p) for r in found], "factor string, sum_squares double, df long, f double, p double")
+
+
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all documents: author is the source, topic the language."""
+    return evaluation.pair_counts(table(spark, sf_dir, "documents"), "source", "lang")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark passages with an author and a topic by their ids."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), (F.col("item_id") % 5).alias("author"), (F.col("item_id") % 3).alias("topic"), "text")
@@ -266,11 +305,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quote_dialogue": block_query(lambda: [profiles.quote_dialogue_block()], enriched=True), "layout_whitespace": block_query(lambda: [profiles.layout_block()], enriched=True), "discourse_markers": block_query(lambda: [profiles.discourse_block()], enriched=True),
     "transition_phrases": block_query(lambda: [profiles.transition_block()], enriched=True), "abbreviations_acronyms": block_query(lambda: [profiles.abbreviation_block()], enriched=True), "format_layers": format_layers, "syllables": syllables,
     "most_frequent_words": most_frequent_words, "term_frequencies": term_frequencies, "word_ngrams": vocabulary("word", 1, 2, 100), "function_word_ngrams": vocabulary("function_word", 1, 2, 100), "char_ngrams": vocabulary("char", 3, 3, 100), "punctuation_ngrams": vocabulary("punctuation", 1, 3, 50),
-    "z_scores": z_scores, "burrows_delta": burrows_delta, "cosine_pairs": vector_pairs("cosine"), "euclidean_pairs": vector_pairs("euclidean"), "threshold_verification": threshold_verification, "nearest_centroid": nearest_centroid, "nearest_centroid_all": nearest_centroid_all,
+    "z_scores": z_scores, "burrows_delta": burrows_delta, "cosine_pairs": vector_pairs("cosine"), "euclidean_pairs": vector_pairs("euclidean"), "threshold_verification": threshold_verification, "nearest_centroid": nearest_centroid, "pca": pca, "kmeans": kmeans, "logistic_classifier": logistic_classifier, "one_class": one_class, "nmf_topics": nmf_topics, "two_way_anova": two_way_anova, "pair_counts": pair_counts,
     "hard_negative_pairs": hard_negatives, "topic_shift_pairs": topic_shifts, "cross_topic_holdout": holdout, "effect_sizes": effect_sizes, "length_sensitivity": length_sensitivity, "split_diagnostics": split_diagnostics, "dense_index": dense_index, "content_mask": content_mask, "review_packet": review_packet,
     "pos_frequency": syntax_query(lambda: [syntax.pos_frequency_block(), syntax.pos_density_block()]), "dependency_relations": syntax_query(lambda: [syntax.relation_block()]), "dependency_distance": syntax_query(lambda: [syntax.distance_block()], branching), "parse_depth": syntax_query(lambda: [syntax.parse_depth_block()], branching),
     "syntactic_complexity": syntax_query(lambda: [syntax.complexity_block()]), "passive_voice": syntax_query(lambda: [syntax.passive_block()], branching), "entity_density": syntax_query(lambda: [syntax.entity_density_block(("ORG", "PERSON"))]), "root_statistics": syntax_query(lambda: [syntax.root_block()]),
     "content_masking": syntax_query(lambda: [syntax.masking_block(("NOUN",))]), "masked_texts": masked_texts, **{f"syntax_{k}": syntax_vocabulary(k) for k in syntax.fitted_blocks()},
+    **judged.QUERIES,
 }
 
-ORACLE_SQL: dict[str, str] = oracle.statements(snake, lexicon) | profile_sql.statements(lambda n: snake(f"text::{n}"), lexicon)
+ORACLE_SQL: dict[str, str] = oracle.statements(snake, lexicon) | profile_sql.statements(lambda n: snake(f"text::{n}"), lexicon) | judged.sql()

@@ -211,10 +211,9 @@ UNION ALL SELECT doc_id, 'email', md5(regexp_replace(nfc_normalize(array_to_stri
     s["cosine_pairs"] = VECTOR + " SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(1 - list_cosine_similarity(a.f, b.f), 6) + CAST(0 AS DOUBLE) AS distance FROM e a JOIN e b ON b.vec_id = a.vec_id + 1"
     s["euclidean_pairs"] = VECTOR + " SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_distance(a.f, b.f), 6) AS distance FROM e a JOIN e b ON b.vec_id = a.vec_id + 1"
     s["threshold_verification"] = VECTOR + " SELECT a.vec_id AS left_id, b.vec_id AS right_id, 1 - list_cosine_similarity(a.f, b.f) <= 0.9 AS accepted FROM e a JOIN e b ON b.vec_id = a.vec_id + 2"
-    s["nearest_centroid"] = VECTOR + """, x AS (SELECT label, unnest(f) AS x, unnest(range(len(f))) AS i FROM e WHERE label IS NOT NULL AND vec_id % 2 = 0), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1),
-r AS (SELECT vec_id AS doc_id, c.label AS prediction, list_distance(f, c) AS d FROM e CROSS JOIN c WHERE e.label IS NOT NULL AND vec_id % 2 = 1) SELECT doc_id, CAST(arg_min(prediction, (d, prediction)) AS BIGINT) AS prediction, round(min(d), 6) AS distance FROM r GROUP BY doc_id"""
-    s["nearest_centroid_all"] = VECTOR + """, x AS (SELECT label, unnest(f) AS x, unnest(range(len(f))) AS i FROM e WHERE label IS NOT NULL), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1),
+    s["nearest_centroid"] = VECTOR + """, x AS (SELECT label, unnest(f) AS x, unnest(range(len(f))) AS i FROM e WHERE label IS NOT NULL), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1),
 r AS (SELECT vec_id AS doc_id, c.label AS prediction, list_distance(f, c) AS d FROM e CROSS JOIN c) SELECT doc_id, CAST(arg_min(prediction, (d, prediction)) AS BIGINT) AS prediction, round(min(d), 6) AS distance FROM r GROUP BY 1"""
+    s["pair_counts"] = "SELECT doc_id, CASE WHEN source IS NULL OR lang IS NULL THEN 0 ELSE count(source) FILTER (lang IS NOT NULL) OVER (PARTITION BY lang) - count(*) OVER (PARTITION BY source, lang) END AS hard_negatives, CASE WHEN source IS NULL OR lang IS NULL THEN 0 ELSE count(lang) FILTER (source IS NOT NULL) OVER (PARTITION BY source) - count(*) OVER (PARTITION BY source, lang) END AS topic_shifts FROM documents"
     bench = "FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id AND"
     s["hard_negative_pairs"] = f"SELECT a.item_id AS left_id, b.item_id AS right_id {bench} a.item_id % 3 = b.item_id % 3 AND a.item_id % 5 <> b.item_id % 5"
     s["topic_shift_pairs"] = f"SELECT a.item_id AS left_id, b.item_id AS right_id {bench} a.item_id % 5 = b.item_id % 5 AND a.item_id % 3 <> b.item_id % 3"

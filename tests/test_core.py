@@ -157,7 +157,7 @@ def test_evaluation(spark):
 def test_nearest_centroid_of_every_vector(spark, tmp_path):
     rows = [(0, [0.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [10.0, 0.0], 2), (3, [10.0, 2.0], 2), (4, [9.0, 1.0], None), (5, [1.0, 3.0], None)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.doc_id: (r.prediction, r.distance) for r in queries.QUERIES["nearest_centroid_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.prediction, r.distance) for r in queries.QUERIES["nearest_centroid"](spark, str(tmp_path)).collect()}
     assert got == {0: (1, 1.0), 1: (1, 1.0), 2: (2, 1.0), 3: (2, 1.0), 4: (2, 1.0), 5: (1, 3.0)}
 
 
