@@ -72,6 +72,13 @@ l AS (SELECT a.vec_id AS s, b.vec_id AS t FROM e a JOIN e b ON a.label = b.label
 r AS (SELECT vec_id AS v, vec_id AS u FROM embeddings UNION SELECT r.v, l.t FROM r JOIN l ON r.u = l.s),
 c AS (SELECT v, min(u) AS component_id FROM r GROUP BY 1), n AS (SELECT s, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON v = vec_id LEFT JOIN n ON s = vec_id""",
+    "op10_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+k AS (SELECT *, role || chr(0) || text AS rt, contains(role, '[INST]') OR contains(text, '[/INST]</s>') AS escaped FROM c),
+e AS (SELECT *, 27 + length(role) + length(text) + CASE WHEN escaped THEN length(rt) - length(replace(rt, '\', '')) + len(regexp_extract_all(rt, '<s>|\[ROLE|\[INST\]|\[/INST\]|</s>')) ELSE 0 END AS n FROM k)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
     "op9_exact_topk": r"""
 WITH v AS (SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -111,3 +111,21 @@ def test_character_cuts():
     assert S.whole_characters(data, [(2, 4)]) == [(3, 4)]
     assert S.whole_characters(data, [(0, 2)]) == [(0, 1)]
     assert S.whole_characters(data, [(1, 3)]) == [(1, 3)]
+
+
+def test_passages_of_over_fifty_words_go_and_lines_stay(spark):
+    """With the bounds of the pipeline: every passage of 51 words that occurs again, whatever is around it, and nothing else."""
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passages, lines = [text(51) for _ in range(12)], [text(40) for _ in range(6)]
+    assert min(map(len, passages)) < 300 and min(map(len, lines)) > 200
+    around = [(text(rng.randrange(20, 90)), text(rng.randrange(20, 90))) for _ in range(60)]
+    rows = [(i, f"{a} {(passages + lines)[i % 18]} {b}", i % 18) for i, (a, b) in enumerate(around[:54])] + [(100 + i, f"{a} {b}", -1) for i, (a, b) in enumerate(around[54:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of int")
+    for r in S.remove_repeats(df, 200, words=50).collect():
+        whole = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        if 0 <= r.of < 12:
+            a, b = around[r.doc_id]
+            assert passages[r.of] not in r.text and len(a) + len(b) - 20 <= len(r.text) <= len(a) + len(b) + 2
+        else:
+            assert r.text == whole
