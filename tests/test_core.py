@@ -195,3 +195,17 @@ def test_registry(spark):
     registry.require_complete(names, names)
     with pytest.raises(ValueError):
         registry.require_complete(names, names[1:])
+
+
+def test_pair_counts_are_those_of_the_pairs(spark):
+    from penprint.operators import evaluation as V
+
+    rows = [(i, f"a{i % 3}", f"t{i % 2}") for i in range(11)] + [(20, None, "t0"), (21, "a0", None), (22, "a9", "t9")]
+    df = spark.createDataFrame(rows, "doc_id long, author string, topic string")
+    want = {i: [0, 0] for i, *_ in rows}
+    for k, pairs in enumerate((V.hard_negative_pairs(df), V.topic_shift_pairs(df))):
+        for r in pairs.collect():
+            want[r.left_id][k] += 1
+            want[r.right_id][k] += 1
+    assert {r.doc_id: [r.hard_negatives, r.topic_shifts] for r in V.pair_counts(df).collect()} == want
+    assert V.pair_counts(df.limit(0)).collect() == []
