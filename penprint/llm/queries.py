@@ -33,7 +33,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Beside the strings of 400 bytes, passages of 50 words or more: most hold no such string. They are told as in the pipeline."""
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=200, words=50)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

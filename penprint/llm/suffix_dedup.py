@@ -437,6 +437,11 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
+def passages(data: bytes, ranges: list[tuple[int, int]], words: int, whole: int = LENGTH) -> list[tuple[int, int]]:
+    """The ranges that hold so many words, or ``whole`` bytes."""
+    return [(a, b) for a, b in ranges if b - a >= whole or len(data[a:b].split()) >= words]
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """``key, text_mark, ranges`` for the texts that lose bytes: their merged byte ranges, sorted; and where it is written."""
     spark = docs.sparkSession
@@ -494,7 +499,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = GRAM, id_col
 def _with_ranges(docs: DataFrame, ranges: tuple[DataFrame, str], id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     both = docs.withColumn("__key", doc_key(id_col, text_col))
-    own = ranges[0].select(F.col("key").alias("__key"), F.col("text_mark").alias("__d"), F.col("ranges").alias("__ranges"))
+    own = ranges[0].withColumnsRenamed({"key": "__key", "text_mark": "__d", "ranges": "__ranges", "runs": "__runs"})
     # a text is known by its key and its mark: texts that share an id keep apart
     return id_bound_join(both.withColumn("__d", _mark(text)), own, ranges[1], ["__key", "__d"], "left")
 
@@ -517,8 +522,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     out.append(t)
                 else:
                     data = t.encode()
-                    r = [(a, b) for a, b in r if b - a >= whole or len(data[a:b].split()) >= words]
-                    out.append(cut(data, whole_characters(data, r)).decode())
+                    out.append(cut(data, whole_characters(data, passages(data, r, words, whole))).decode())
             # the columns are inner names and numbers, so that any names may be there
             others = iter(batch.columns[:-2])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else next(others) for c in names], names)
@@ -531,20 +535,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return rows.mapInArrow(rewritten, schema)
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    ranges = repeated_ranges(docs.select(id_col, text_col), length, id_col=id_col, text_col=text_col)
+def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", passage: int = 0, words: int = 0) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row.
+
+    With ``passage`` a second search follows, by strings of so many bytes: ``n_passages, n_passage_bytes`` are the maximal runs
+    that those cover and that hold ``words`` words or ``length`` bytes. The columns before say nothing of shorter repeats.
+    """
+    texts = docs.select(id_col, text_col)
+    ranges = repeated_ranges(texts, length, id_col=id_col, text_col=text_col)
+    if passage:
+        runs = repeated_ranges(texts, passage, id_col=id_col, text_col=text_col)
+        both = kept(ranges[0].join(runs[0].withColumnRenamed("ranges", "runs"), ["key", "text_mark"], "full"))
+        dropped(docs.sparkSession, ranges[1], runs[1])
+        ranges = both
+    more = ["n_passages", "n_passage_bytes"] if passage else []
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches):
             out = []
-            for t, r in zip(batch.column("t").to_pylist(), batch.column("r").to_pylist(), strict=True):
+            runs = batch.column("p").to_pylist() if passage else [None] * batch.num_rows
+            for t, r, p in zip(batch.column("t").to_pylist(), batch.column("r").to_pylist(), runs, strict=True):
                 data, r = (t or "").encode(), r or []
-                out.append((len(data), sum(b - a for a, b in r), len(r), hashlib.sha256(cut(data, r)).hexdigest()))
+                p = passages(data, p or [], words, length)
+                own = (len(p), sum(b - a for a, b in p)) if passage else ()
+                out.append((len(data), sum(b - a for a, b in r), len(r), hashlib.sha256(cut(data, r)).hexdigest(), *own))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), pa.int64()) for c in cols[:3]), pa.array(list(cols[3]), pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) if out else batch.select(["doc_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), pa.string() if i == 3 else pa.int64()) for i, c in enumerate(cols))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *more]) if out else batch.select(["doc_id"])
 
     joined = _with_ranges(docs.select(F.col(id_col).alias("__i"), F.col(text_col).cast("string").alias("__t")), ranges, "__i", "__t")
-    rows = joined.select(F.col("__i").alias("doc_id"), F.col("__t").alias("t"), F.col("__ranges").alias("r"))
+    rows = joined.select(F.col("__i").alias("doc_id"), F.col("__t").alias("t"), F.col("__ranges").alias("r"), *([F.col("__runs").alias("p")] if passage else []))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.where(F.lit(True)).mapInArrow(digested, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.where(F.lit(True)).mapInArrow(digested, ", ".join([f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(f"{c} long" for c in more)]))

@@ -129,3 +129,43 @@ def test_passages_of_over_fifty_words_go_and_lines_stay(spark):
             assert passages[r.of] not in r.text and len(a) + len(b) - 20 <= len(r.text) <= len(a) + len(b) + 2
         else:
             assert r.text == whole
+
+
+def test_query_tells_passages_of_over_fifty_words_beside_strings_of_400_bytes(spark, tmp_path):
+    """Passages of 51 words hold no string of 400 bytes: ``n_removed`` rightly leaves them, the passage columns don't."""
+    from penprint.llm.queries import op5_suffix_dedup
+
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    planted, lines, long = [text(51) for _ in range(8)], [text(40) for _ in range(4)], text(120)
+    texts = [f"{text(rng.randrange(20, 90))} {p} {text(rng.randrange(20, 90))}" for p in [*planted, *lines, long] * 3]
+    texts += [text(100) for _ in range(8)] + [texts[0][50:], "\U0001f600" * 120, None, ""]
+    texts.append(texts[39])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(brute(texts, 400)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+    seen = {}
+    for t in texts:
+        data = (t or "").encode()
+        for at in range(len(data) - 199):
+            seen[data[at:at + 200]] = seen.get(data[at:at + 200], 0) + 1
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        hit = bytearray(len(data))
+        for at in range(len(data) - 199):
+            if seen[data[at:at + 200]] > 1:
+                hit[at:at + 200] = b"\1" * 200
+        edges = np.flatnonzero(np.diff(np.array([0, *hit, 0], np.int8)))
+        runs = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a >= 400 or len(data[a:b].split()) >= 50]
+        assert (got[i].n_passages, got[i].n_passage_bytes) == (len(runs), sum(b - a for a, b in runs))
+    for i in range(39):
+        if i % 13 < 8:
+            assert got[i].n_passages == 1 and got[i].n_passage_bytes >= len(planted[i % 13])
+            assert got[i].n_removed == 0 or i == 0  # most of text 0 is copied below
+        elif i % 13 < 12:
+            assert got[i].n_passages == 0
+        else:
+            assert got[i].n_removed and got[i].n_passages
+    assert all(got[i].n_passages == 0 for i in range(40, 47))
