@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from penprint.functions import text as X
 from penprint.functions.lexicons import SPELLING_VARIANTS, lexicon
+from penprint.functions.mtld import mtld
 from penprint.functions.vocd import VOCD_SEED, vocd
+from penprint.llm.common import short_batches
 from penprint.plans.blocks import SHORT, Block, Feature, ratio
 
-WINDOW, SEGMENT, MTLD_CUT, HDD_SAMPLE = 50, 50, 0.72, 42
+WINDOW, SEGMENT, HDD_SAMPLE = 50, 50, 42
 #: Rows of one length, and lengths, that one task of vocd takes.
 VOCD_ROWS, VOCD_TOKENS = 500, 20_000
 VOCD_TYPE = pa.struct([("d", pa.float64()), ("fast", pa.float64()), ("reason", pa.string())])
@@ -68,17 +70,6 @@ def msttr() -> Column:
     return F.when(n > 0, (new(True) / F.lit(float(SEGMENT)) + F.when(rest > 0, new(False) / rest).otherwise(0.0)) / segments)
 
 
-def _factors(tokens: Column) -> Column:
-    """Factors of one direction: a stretch ends where its type-token ratio comes down to the cut."""
-    state = F.struct(F.lit(0.0).alias("f"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"))
-    def step(s: Column, x: Column) -> Column:
-        seen = F.when(F.array_contains(s["seen"], x), s["seen"]).otherwise(F.array_append(s["seen"], x))
-        full = F.size(seen) / (s["n"] + 1) <= MTLD_CUT
-        return F.struct(F.when(full, s["f"] + 1).otherwise(s["f"]).alias("f"), F.when(full, F.array().cast("array<string>")).otherwise(seen).alias("seen"), F.when(full, F.lit(0)).otherwise(s["n"] + 1).alias("n"))
-    end = lambda s: s["f"] + F.when(s["n"] > 0, (1 - F.size(s["seen"]) / s["n"]) / (1 - MTLD_CUT)).otherwise(0.0)
-    return F.aggregate(tokens, state, step, end)
-
-
 def hdd() -> Column:
     """Expected contribution of each type to a random sample, by the hypergeometric chance that it is missed."""
     s = F.least(F.lit(HDD_SAMPLE), n_tokens())
@@ -86,6 +77,12 @@ def hdd() -> Column:
     return F.when(n_tokens() > 0, X.total(F.col("frequency_spectrum"), lambda g: g["types"] * (1 - missed(g["f"])) / s))
 
 
+def with_mtld(view: DataFrame) -> DataFrame:
+    """The view with ``mtld``, by a pass over numbered tokens in Arrow batches: an expression would look through all types of a stretch for each token."""
+    short_batches(view.sparkSession)
+    return view.withColumn("mtld", F.arrow_udf(mtld, "double")("tokens"))
+
+
 def with_vocd(seed: str = VOCD_SEED):
     def step(view: DataFrame) -> DataFrame:
         measured = F.udf(lambda t: vocd(t, seed), "struct<d:double,fast:double,reason:string>", useArrow=True)
@@ -149,12 +146,10 @@ def _richness() -> list[Feature]:
     n = n_tokens().cast("double")
     hapax_only = F.col("hapax") == n_types()
     squares = F.col("sum_squares")
-    forward, backward = _factors(F.col("tokens")), _factors(F.reverse("tokens"))
-    length_of = lambda f: F.when(f > 0, n / f).otherwise(n)
     vocd_reason = F.col("vocd.reason")
     rows: list[tuple[str, Column, Column | None]] = [
         ("ttr", ratio(n_types(), n_tokens()), zero), ("cttr", F.when(n_tokens() > 0, n_types() / F.sqrt(2 * n)), zero), ("herdan_c", F.when(n_tokens() > 1, F.ln(n_types().cast("double")) / F.ln(n)), F.lit("insufficient_tokens_for_log")), ("msttr", msttr(), zero), ("mattr", mattr(), zero),
-        ("mtld", F.when(n_tokens() > 0, (length_of(forward) + length_of(backward)) / 2), zero), ("hdd", hdd(), zero), ("vocd_d", F.col("vocd.d"), vocd_reason), ("vocd_d_fast", F.col("vocd.fast"), vocd_reason), ("hapax_count", F.col("hapax"), None), ("dis_legomena_count", F.col("dis"), None),
+        ("mtld", F.col("mtld"), zero), ("hdd", hdd(), zero), ("vocd_d", F.col("vocd.d"), vocd_reason), ("vocd_d_fast", F.col("vocd.fast"), vocd_reason), ("hapax_count", F.col("hapax"), None), ("dis_legomena_count", F.col("dis"), None),
         ("yules_k", F.when(n_tokens() > 0, 10_000 * (squares - n) / (n * n)), zero), ("honore_r", F.when((n_tokens() > 1) & ~hapax_only, 100 * F.ln(n) / (1 - F.col("hapax") / n_types())), F.when(n_tokens() <= 1, F.lit("insufficient_tokens_for_log")).otherwise(F.lit("all_types_are_hapax"))),
         ("guiraud_r", F.when(n_tokens() > 0, n_types() / F.sqrt(n)), zero), ("sichel_s", ratio(F.col("dis"), n_types()), F.lit("zero_types")), ("simpson_d", F.when(n_tokens() > 1, (squares - n) / (n * (n - 1))), F.lit("insufficient_tokens_for_pairs")),
         ("renyi_entropy_alpha_2", F.when(n_tokens() > 0, -F.ln(squares / (n * n))), zero),
@@ -254,9 +249,9 @@ def _readability() -> list[Feature]:
 
 
 def scalar_block(config, vocd_seed: str | None = VOCD_SEED) -> Block:
-    """74 columns. Without a seed the two that sample (vocd) are left out, and nothing runs outside the JVM."""
+    """74 columns. Without a seed the two that sample (vocd) are left out; then ``mtld`` alone runs outside the JVM, where it is asked for."""
     counts = {"token_count": n_tokens(), "type_count": n_types(), "sentence_count": F.size("sentences"), "paragraph_count": F.size("paragraphs"), "character_count": F.length("raw"), "letter_count": X.count(F.col("raw"), r"\p{L}")}
     features = [*(Feature(f"text::counts::{k}", v) for k, v in counts.items()), *_richness(), *_lengths(), *_closed_classes(), *_surface(), *_readability()]
     if vocd_seed is None:
         features = [f for f in features if "::vocd" not in f.name]
-    return Block("scalar", tuple(features), (*richness_columns(), *length_columns(config)), (with_vocd(vocd_seed),) if vocd_seed is not None else ())
+    return Block("scalar", tuple(features), (*richness_columns(), *length_columns(config)), (with_mtld, *((with_vocd(vocd_seed),) if vocd_seed is not None else ())))

@@ -209,3 +209,31 @@ def test_pair_counts_are_those_of_the_pairs(spark):
             want[r.right_id][k] += 1
     assert {r.doc_id: [r.hard_negatives, r.topic_shifts] for r in V.pair_counts(df).collect()} == want
     assert V.pair_counts(df.limit(0)).collect() == []
+
+
+def test_mtld_by_its_rule(spark):
+    """Against the rule itself, on texts of many types too: 40,000 different tokens would be looked through for each token."""
+    import random
+
+    def by_rule(tokens):
+        both = []
+        for ordered in (tokens, tokens[::-1]):
+            f, seen, n = 0.0, set(), 0
+            for t in ordered:
+                seen.add(t)
+                n += 1
+                if len(seen) / n <= 0.72:
+                    f, seen, n = f + 1, set(), 0
+            f += (1 - len(seen) / n) / (1 - 0.72) if n else 0
+            both.append(len(tokens) / f if f > 0 else float(len(tokens)))
+        return sum(both) / 2 if tokens else None
+
+    draw = random.Random(1)
+    texts = [[draw.choice("abcdefgh") * draw.randint(1, k) for _ in range(n)] for n in (0, 1, 2, 49, 300) for k in (1, 3, 9)]
+    texts.append(["".join(draw.choices("abcdefghijklmnopqrst", k=9)) for _ in range(40_000)])
+    rows = document_view(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1))
+    block = scalar.scalar_block(ENGLISH, None)
+    found = B.wide(rows, [block], {"text::lexical_richness::mtld": "m"})
+    assert "array_contains" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r.m for r in found.collect()}
+    assert got == {i: by_rule(t) for i, t in enumerate(texts)}
