@@ -14,15 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _vectors(lists: pa.Array) -> np.ndarray:
+    """A batch of vectors as a matrix; nulls among components become NaN. ``ValueError`` where lengths differ."""
+    sizes = lists.value_lengths()
+    if sizes.null_count or len(sizes.unique()) > 1:
+        raise ValueError("vectors of unlike length")
+    return np.array(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(len(lists), sizes[0].as_py() if len(lists) else 0)
+
+
 def _sums(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """``part`` of each batch of vectors, summed over all rows: ``size`` numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             for i in range(0, batch.num_rows, 1_024):
-                x = np.array(batch.column(0).slice(i, 1_024).to_pylist(), float)
-                if len(x):
-                    total += part(x).ravel()
+                total += part(_vectors(batch.column(0).slice(i, 1_024))).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "s"])
 
     got = rows.select(F.col("features").cast("array<double>").alias("features")).mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
@@ -61,13 +67,14 @@ def nmf(rows: DataFrame, k: int, rounds: int = 30, steps: int = 30, seed: int =
     """
     if k < 1:
         raise ValueError("at least one topic")
+    # every round reads it; what is lost is made again. Kept before the check: a filter over the plan would be moved below the vectors, and each component would be made of the text anew
+    rows = rows.select("doc_id", F.col("features").cast("array<double>").alias("features")).persist()
     first = rows.select(F.size("features")).first()
     if not first:
         raise ValueError("no rows")
     if rows.where(F.exists("features", lambda v: v.isNull() | F.isnan(v) | (v < 0))).limit(1).count():
         raise ValueError("components of at least 0")
     size = first[0]
-    rows = rows.select("doc_id", F.col("features").cast("array<double>").alias("features")).persist()  # every round reads it; what is lost is made again
     mean = _sums(rows, lambda x: np.concatenate([[len(x)], x.sum(axis=0)]), size + 1)
     h = np.random.default_rng(seed).random((k, size)) + 0.1
     h *= np.maximum(mean[1:] / max(1.0, mean[0]), 1e-9)
@@ -84,7 +91,7 @@ def nmf(rows: DataFrame, k: int, rounds: int = 30, steps: int = 30, seed: int =
 
     def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, size)
+            x = _vectors(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_loadings(x, h, steps)), pa.list_(pa.float64()))], ["doc_id", "loadings"])
 
     out = rows.select("doc_id", F.col("features").cast("array<double>")).mapInArrow(loaded, f"doc_id {kind}, loadings array<double>")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from penprint.operators import representations as R
 
@@ -68,3 +69,18 @@ def test_report(spark):
     got = R.style_report(rows, {"all": rows}, lambda r: float(r.count()), lengths, values, folds=3)
     assert got["topic_leakage"] > 0.9 and got["ablation"] == {"all": 12.0} and got["split"]["underpowered"] is False
     assert got["length_sensitivity"]["a"] == pytest.approx(1) and got["length_sensitivity"]["b"] == 0
+
+
+def test_nmf_makes_its_vectors_once(spark):
+    """Neither the check nor a round makes the vectors anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    def vector(i):
+        made.add(1)
+        return [float(i % 3), float(i % 5), 1.0]
+
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.udf(vector, "array<double>")("id").alias("features"))
+    loads, *_ = R.nmf(rows, 2, rounds=2)
+    assert loads.count() == 40 and made.value == 40
+    with pytest.raises(Exception, match="unlike length"):
+        R.nmf(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "doc_id long, features array<double>").coalesce(1), 1)
