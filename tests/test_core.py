@@ -237,3 +237,17 @@ def test_mtld_by_its_rule(spark):
     assert "array_contains" not in found._jdf.queryExecution().executedPlan().toString()
     got = {r.doc_id: r.m for r in found.collect()}
     assert got == {i: by_rule(t) for i, t in enumerate(texts)}
+
+
+def test_samples_of_vocd():
+    """The places of the least hashes, as sorting all of them gives; among equal ones the first."""
+    import hashlib
+
+    import numpy as np
+
+    from penprint.functions import vocd as V
+
+    assert sorted(V.least(np.array([5, 1, 5, 0, 5, 9], np.uint64), 3).tolist()) == [0, 1, 3] and len(V.least(np.array([2, 2], np.uint64), 2)) == 2
+    n, size, sample = 61, 40, 7
+    want = sorted((hashlib.blake2b(f"s:{n}:{size}:{sample}:{i}".encode(), digest_size=8).digest(), i) for i in range(n))[:size]
+    assert sorted(V.samples(n, "s")[size - 35][sample].tolist()) == sorted(i for _, i in want)
