@@ -251,3 +251,21 @@ def test_samples_of_vocd():
     n, size, sample = 61, 40, 7
     want = sorted((hashlib.blake2b(f"s:{n}:{size}:{sample}:{i}".encode(), digest_size=8).digest(), i) for i in range(n))[:size]
     assert sorted(V.samples(n, "s")[size - 35][sample].tolist()) == sorted(i for _, i in want)
+
+
+def test_index_over_many_ranges(spark, tmp_path):
+    """Each job draws Spark's ranges anew; ids here are too many to be drawn whole."""
+    n, aqe = 60_000, "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.range(n).orderBy(F.xxhash64("id")).select(F.col("id").alias("doc_id")).repartition(5).write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    was = spark.conf.get(aqe)
+    spark.conf.set(aqe, "false")
+    try:
+        assert not evaluation.indexed(ids).where("index <> doc_id").count()
+        more = ids.unionByName(spark.createDataFrame([(None,), (None,), (-1,)], "doc_id long"))
+        got = {tuple(r) for r in evaluation.indexed(more).where("doc_id is null or doc_id in (-1, 0)").collect()}
+        assert got == {(-1, 0), (0, 1), (None, n + 1), (None, n + 2)}
+        assert [r["index"] for r in evaluation.indexed(spark.createDataFrame([("b",), ("a",)], "doc_id string")).orderBy("doc_id").collect()] == [0, 1]
+        assert not evaluation.indexed(ids.where("doc_id < 0")).count()
+    finally:
+        spark.conf.set(aqe, was)
