@@ -253,6 +253,15 @@ def test_samples_of_vocd():
     assert sorted(V.samples(n, "s")[size - 35][sample].tolist()) == sorted(i for _, i in want)
 
 
+def test_delta_of_documents_without_a_feature(spark):
+    """As the mean over pairs of features in SQL: those that one document lacks don't count."""
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (1, "b", None), (2, "b", 5.0), (3, "a", 5.0), (3, "b", 7.0), (4, "a", None), (4, "b", None)], "doc_id long, feature string, value double")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "left_id long, right_id long")
+    got = {r.left_id: r.distance for r in evaluation.burrows_delta(rows, pairs).collect()}
+    step = 2 / math.sqrt(8 / 3)
+    assert got == {1: pytest.approx(step), 2: pytest.approx((step + 2) / 2), 3: None}
+
+
 def test_index_over_many_ranges(spark, tmp_path):
     """Each job draws Spark's ranges anew; ids here are too many to be drawn whole."""
     n, aqe = 60_000, "spark.sql.adaptive.coalescePartitions.enabled"
