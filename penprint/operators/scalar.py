@@ -115,10 +115,9 @@ def vocd_by_length(view: DataFrame, seed: str = VOCD_SEED) -> DataFrame:
 
 def length_columns(config) -> tuple[dict[str, Column], ...]:
     return (
-        {"n_tokens": F.size("tokens"), "word_lengths": F.transform("tokens", F.length), "bare_words": F.transform("tokens", X.alpha), "sentence_lengths": F.transform("sentences", lambda s: X.token_count(s, config)),
+        {"n_tokens": F.size("tokens"), "word_lengths": F.transform("tokens", F.length), "word_syllables": X.word_syllables(F.col("tokens")), "sentence_lengths": F.transform("sentences", lambda s: X.token_count(s, config)),
          "paragraph_lengths": F.transform("paragraphs", lambda p: X.token_count(p, config)), "line_lengths": F.transform("lines", F.length)},
-        {"word_syllables": X.syllable_counts(F.col("bare_words"))},
-        {"n_syllables": X.total(F.col("word_syllables"), kind="long"), "n_characters": X.total(F.col("word_lengths"), kind="long"), "n_sentences": F.size("sentences")},
+        {"sorted_word_lengths": F.sort_array("word_lengths"), "n_syllables": X.total(F.col("word_syllables"), kind="long"), "n_characters": X.total(F.col("word_lengths"), kind="long"), "n_sentences": F.size("sentences")},
     )
 
 
@@ -128,9 +127,9 @@ def mean(array: Column) -> Column:
 
 def pop_std(array: Column) -> Column:
     """From whole sums, so that nothing is computed again for each item."""
-    n, s, q = F.size(array), X.total(array, kind="long"), X.total(array, lambda x: x.cast("long") * x, "long")
+    n, zero = F.size(array), F.lit(0).cast("long")
     some = F.when(n > 0, n.cast("double"))
-    return F.sqrt((n * q - s * s) / (some * some))
+    return F.aggregate(array, F.struct(zero.alias("s"), zero.alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x.cast("long") * x).alias("q")), lambda a: F.sqrt((n * a["q"] - a["s"] * a["s"]) / (some * some)))
 
 
 def percentile(ordered: Column, p: float) -> Column:
@@ -162,7 +161,7 @@ def _lengths() -> list[Feature]:
     words, sent = F.col("word_lengths"), F.col("sentence_lengths")
     of = lambda name, value, reason, units: Feature(f"text::length::{name}", value, reason, F.size(units) < SHORT)
     return [
-        of("word_mean", mean(words), zero, words), of("word_median", percentile(F.array_sort(words), 0.5), zero, words), of("word_std", pop_std(words), zero, words), of("syllables_per_word_mean", mean(F.col("word_syllables")), zero, words),
+        of("word_mean", mean(words), zero, words), of("word_median", percentile(F.col("sorted_word_lengths"), 0.5), zero, words), of("word_std", pop_std(words), zero, words), of("syllables_per_word_mean", mean(F.col("word_syllables")), zero, words),
         of("sentence_tokens_mean", mean(sent), F.lit("zero_sentences"), sent), of("sentence_tokens_std", pop_std(sent), F.lit("zero_sentences"), sent),
         of("paragraph_tokens_mean", mean(F.col("paragraph_lengths")), F.lit("zero_paragraphs"), F.col("paragraph_lengths")), of("line_characters_mean", mean(F.col("line_lengths")), F.lit("zero_lines"), F.col("line_lengths")),
     ]
