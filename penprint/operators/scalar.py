@@ -192,26 +192,31 @@ def table_line(line: Column) -> Column:
 BULLET, NUMBERED = rf"\A[{X.SPACE}]*[-*][{X.SPACE}]+", rf"\A[{X.SPACE}]*\p{{Nd}}+[.)][{X.SPACE}]+"
 
 
+def surface_columns() -> dict[str, Column]:
+    """What several features of the surface share."""
+    raw = F.col("raw")
+    return {"n_letters": X.letter_count(raw), "n_marks": F.length(raw) - F.length(F.translate(raw, MARKS, "")), "n_capitals": X.count(raw, rf"(?=[A-Z])(?<![{X.WORD}])[A-Z]{{2,}}(?![{X.WORD}])"), "stripped_lines": F.transform("lines", X.stripped)}
+
+
 def _surface() -> list[Feature]:
     raw, low, rows = F.col("raw"), F.col("lower_raw"), F.col("lines")
+    # the rare thing first: a look at the character itself rules out most places before a look behind
     edge, end = rf"(?<![{X.WORD}])", rf"(?![{X.WORD}])"
-    capitals = X.count(raw, rf"{edge}[A-Z]{{2,}}{end}")
-    marks = F.length(raw) - F.length(F.translate(raw, MARKS, ""))
-    substrings = lambda words: sum((X.occurrences(low, w) for w in words), F.lit(0))
+    capitals, marks = F.col("n_capitals"), F.col("n_marks")
+    substrings = lambda words: sum((X.occurrences_if_any(low, w) for w in words), F.lit(0))
     quotes = '"\'“”'
-    starts = lambda x: X.stripped(x)
-    heading = lambda x: (starts(x) != "") & (starts(x).startswith("#") | is_title(starts(x)) & (F.length(starts(x)) <= 80))
+    heading = lambda x: (x != "") & (x.startswith("#") | (F.length(x) <= 80) & is_title(x))
     values = {
-        "register::contraction_count": X.count(raw, rf"{edge}[{X.WORD}]+'[{X.WORD}]+{end}"), "orthography::punctuation_count": marks, "orthography::punctuation_per_token": None, "orthography::punctuation_sequence_count": X.count(raw, X.PUNCTUATION_RUN),
+        "register::contraction_count": X.count_if(raw, "'", rf"{edge}[{X.WORD}]++'[{X.WORD}]++"), "orthography::punctuation_count": marks, "orthography::punctuation_per_token": None, "orthography::punctuation_sequence_count": X.count(raw, X.PUNCTUATION_RUN),
         "orthography::uppercase_character_ratio": None, "orthography::all_caps_word_count": capitals, "orthography::titlecase_line_count": X.where_size(rows, is_title), "orthography::spelling_variant_count": substrings([w for p in SPELLING_VARIANTS for w in p[1:]]),
-        "orthography::hyphenated_token_count": X.count(raw, rf"{edge}[A-Za-z]+(?:-[A-Za-z]+)+{end}"), "orthography::abbreviation_count": X.count(low, rf"{edge}(?:e\.g|i\.e|etc|vs|mr|mrs|dr)\.?"), "orthography::acronym_count": capitals,
-        "discourse::quote_marker_count": F.length(raw) - F.length(F.translate(raw, quotes, "")), "discourse::dialogue_dash_count": X.where_size(rows, lambda x: X.stripped(x).startswith("-")),
+        "orthography::hyphenated_token_count": X.count(raw, rf"(?=[A-Za-z]){edge}[A-Za-z]++(?:-[A-Za-z]+)+{end}"), "orthography::abbreviation_count": X.count(low, rf"(?=[eivmd]){edge}(?:e\.g|i\.e|etc|vs|mr|mrs|dr)\.?"), "orthography::acronym_count": capitals,
+        "discourse::quote_marker_count": F.length(raw) - F.length(F.translate(raw, quotes, "")), "discourse::dialogue_dash_count": X.where_size(F.col("stripped_lines"), lambda x: x.startswith("-")),
         "discourse::discourse_marker_count": substrings(lexicon("discourse_markers").tokens), "discourse::transition_phrase_count": substrings(lexicon("transition_phrases").tokens),
-        "layout::heading_line_count": X.where_size(rows, heading), "layout::bullet_line_count": X.where_size(rows, lambda x: x.rlike(BULLET)), "layout::numbered_line_count": X.where_size(rows, lambda x: x.rlike(NUMBERED)), "layout::code_fence_count": X.occurrences(raw, "```"),
-        "layout::table_line_count": X.where_size(rows, table_line), "layout::greeting_count": X.count(low, rf"{edge}(?:dear|hello|hi){end}"), "layout::signoff_count": X.count(low, rf"{edge}(?:regards|sincerely|cheers|best){end}"),
+        "layout::heading_line_count": X.where_size(F.col("stripped_lines"), heading), "layout::bullet_line_count": X.where_size(rows, lambda x: x.rlike(BULLET)), "layout::numbered_line_count": X.where_size(rows, lambda x: x.rlike(NUMBERED)), "layout::code_fence_count": X.occurrences(raw, "```"),
+        "layout::table_line_count": X.where_size(rows, table_line), "layout::greeting_count": X.count(low, rf"(?=[dh]){edge}(?:dear|hello|hi){end}"), "layout::signoff_count": X.count(low, rf"(?=[rscb]){edge}(?:regards|sincerely|cheers|best){end}"),
         "whitespace::blank_line_count": X.count(raw, rf"\n[{X.SPACE}]*\n"), "whitespace::line_break_count": X.occurrences(raw, "\n"),
     }
-    upper, letters = X.count(raw, r"\p{IsUppercase}"), X.count(raw, r"\p{L}")
+    upper, letters = F.length(F.regexp_replace(raw, r"\P{IsUppercase}+", "")), F.col("n_letters")
     out = []
     for name, value in values.items():
         if name.endswith("per_token"):
@@ -249,8 +254,8 @@ def _readability() -> list[Feature]:
 
 def scalar_block(config, vocd_seed: str | None = VOCD_SEED) -> Block:
     """74 columns. Without a seed the two that sample (vocd) are left out; then ``mtld`` alone runs outside the JVM, where it is asked for."""
-    counts = {"token_count": n_tokens(), "type_count": n_types(), "sentence_count": F.size("sentences"), "paragraph_count": F.size("paragraphs"), "character_count": F.length("raw"), "letter_count": X.count(F.col("raw"), r"\p{L}")}
+    counts = {"token_count": n_tokens(), "type_count": n_types(), "sentence_count": F.size("sentences"), "paragraph_count": F.size("paragraphs"), "character_count": F.length("raw"), "letter_count": F.col("n_letters")}
     features = [*(Feature(f"text::counts::{k}", v) for k, v in counts.items()), *_richness(), *_lengths(), *_closed_classes(), *_surface(), *_readability()]
     if vocd_seed is None:
         features = [f for f in features if "::vocd" not in f.name]
-    return Block("scalar", tuple(features), (*richness_columns(), *length_columns(config)), (with_mtld, *((with_vocd(vocd_seed),) if vocd_seed is not None else ())))
+    return Block("scalar", tuple(features), (*richness_columns(), *length_columns(config), surface_columns()), (with_mtld, *((with_vocd(vocd_seed),) if vocd_seed is not None else ())))
