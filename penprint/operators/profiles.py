@@ -11,7 +11,7 @@ from penprint.config import ENGLISH, PreprocessingConfig
 from penprint.functions import text as X
 from penprint.functions.lexicons import Lexicon, lexicon
 from penprint.operators.scalar import BULLET, NUMBERED, is_title, table_line
-from penprint.plans.blocks import Block, Feature, counted, ratio
+from penprint.plans.blocks import Block, Feature, counted, made_once, ratio
 from penprint.plans.view import with_spans
 
 # --- capitals
@@ -117,7 +117,7 @@ def script_pattern(ranges: tuple[tuple[int, int], ...]) -> str:
 
 
 def orthography_block() -> Block:
-    base, n, letters, characters = "text::orthography_profile", F.length("raw"), F.col("n_letters"), F.col("characters")
+    base, n, letters, characters = "text::orthography_profile", F.length("raw"), F.col("character_counts")["class unicode_letter"], F.col("characters")
     codes = F.transform(characters, lambda x: x["code"])
     empty, no_letters = F.lit("empty_text"), F.lit("zero_alphabetic_characters")
     features = [
@@ -126,20 +126,22 @@ def orthography_block() -> Block:
     ]
     # a text has few distinct characters: each is classified once, and stands for as many as there are
     of = lambda test: X.total(F.filter("characters", test), lambda x: x["n"], "int")
-    for k, pattern in CHARACTER_CLASSES.items():
-        features += counted(lambda m, k=k: f"{base}::character_class={k}::{m}", of(_like(pattern)), n, "per_character", "empty_text", 1.0)
+    step, counts = made_once("character_counts", {f"class {k}": of(_like(p)) for k, p in CHARACTER_CLASSES.items()} | {f"category {k}": of(_like(rf"\p{{{k}}}")) for k in CATEGORIES} | {f"script {k}": of(_like(script_pattern(r))) for k, r in SCRIPTS.items()} | {f"letter {c}": of(_lowered_to(c)) for c in "abcdefghijklmnopqrstuvwxyz"})
+    for k in CHARACTER_CLASSES:
+        features += counted(lambda m, k=k: f"{base}::character_class={k}::{m}", counts[f"class {k}"], n, "per_character", "empty_text", 1.0)
     for k in CATEGORIES:
-        features += counted(lambda m, k=k: f"{base}::unicode_category={k}::{m}", of(_like(rf"\p{{{k}}}")), n, "per_character", "empty_text", 1.0)
-    for k, ranges in SCRIPTS.items():
-        found = of(_like(script_pattern(ranges)))
+        features += counted(lambda m, k=k: f"{base}::unicode_category={k}::{m}", counts[f"category {k}"], n, "per_character", "empty_text", 1.0)
+    for k in SCRIPTS:
+        found = counts[f"script {k}"]
         features += counted(lambda m, k=k: f"{base}::script={k}::{m}", found, n, "per_character", "empty_text", 1.0)
         features.append(Feature(f"{base}::script={k}::per_alpha", ratio(found, letters), no_letters))
     for c in "abcdefghijklmnopqrstuvwxyz":
-        found = of(_lowered_to(c))
+        found = counts[f"letter {c}"]
         features += [Feature(f"{base}::latin_letter={c}::per_alpha", ratio(found, letters), no_letters), Feature(f"{base}::latin_letter={c}::per_character", ratio(found, n), empty)]
-    every = F.when(n > 0, F.array_sort(F.split("raw", ""))).otherwise(X.no_strings())
-    histogram = F.zip_with(F.array_distinct("sorted_characters"), X.run_lengths(F.col("sorted_characters")), lambda c, k: F.struct(c.alias("c"), F.lower(c).alias("low"), F.ascii(c).alias("code"), k.alias("n")))
-    return Block("orthography", tuple(features), ({"sorted_characters": every}, {"characters": histogram}, {"n_letters": of(_like(r"\p{L}"))}))
+    # characters in order, as one text: its runs are the distinct ones
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split("raw", "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    histogram = F.transform("character_runs", lambda r: F.struct(F.left(r, F.lit(1)).alias("c"), F.lower(F.left(r, F.lit(1))).alias("low"), F.ascii(r).alias("code"), F.length(r).alias("n")))
+    return Block("orthography", tuple(features), ({"character_runs": runs}, {"characters": histogram}, step))
 
 
 def _like(pattern: str):
