@@ -195,6 +195,8 @@ TAGS = {
     "pre_quote_speaker_verb": rf"(?<![{X.WORD}]){SPEAKER}[ \t]+{SPEECH}[ \t]*,?[ \t]*[\"“‘']", "post_quote_speaker_verb": rf"[\"”’][ \t]*,?[ \t]*{SPEAKER}[ \t]+{SPEECH}(?![{X.WORD}])",
     "post_quote_verb_speaker": rf"[\"”’][ \t]*,?[ \t]*{SPEECH}[ \t]+{SPEAKER}(?![{X.WORD}])",
 }
+#: What each speaker and verb before a quote ends with.
+BEFORE_QUOTE = rf"{SPEECH}[ \t]*,?[ \t]*[\"“‘']"
 WORD_CHAR = r"\p{L}\p{N}"
 #: kind of a quoted span: marks at its ends
 QUOTES = {"straight_double_quote": '"', "straight_single_quote": "'", "curly_double_quote": "“”", "curly_single_quote": "‘’"}
@@ -204,7 +206,7 @@ BLOCK_QUOTE, DASH_LINE = rf"\A[{X.SPACE}]*>", rf"\A[{X.SPACE}]*[—–―]"
 def quote_places(raw: Column, marks: str) -> Column:
     """Places (from 0) of the marks that aren't inside a word: lengths of the pieces between them, added up."""
     single = "'" in marks or "’" in marks
-    mark = rf"(?:(?<![{WORD_CHAR}])[{marks}]|[{marks}](?![{WORD_CHAR}]))" if single else f"[{marks}]"
+    mark = rf"[{marks}](?:(?<![{WORD_CHAR}][{marks}])|(?![{WORD_CHAR}]))" if single else f"[{marks}]"
     pieces = F.split(raw, mark)
     # the lengths before each mark, the mark itself counts 1
     ends = F.aggregate(pieces, F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, p: F.struct((s["at"] + F.length(p) + 1).alias("at"), F.array_append(s["all"], s["at"] + F.length(p) + 1).alias("all")), lambda s: s["all"])
@@ -223,23 +225,27 @@ def _paired(at: Column, kind: str):
 
 def quote_dialogue_block() -> Block:
     base, n, raw, spans = "text::quote_dialogue_profile", F.size("tokens"), F.col("raw"), F.col("quote_spans")
-    inside = lambda c: X.count(raw, rf"(?<=[A-Za-z0-9]){c}(?=[A-Za-z0-9])")
+    inside = lambda c: X.count(raw, rf"{c}(?<=[A-Za-z0-9]{c})(?=[A-Za-z0-9])")
     total = lambda chars: F.length(raw) - F.length(F.translate(raw, chars, ""))
     marks = {
         "straight_double_quote": total('"'), "straight_single_quote": total("'") - inside("'"), "curly_double_quote": total("“”"), "curly_single_quote": total("‘’") - inside("’"), "apostrophe": inside("['’]"),
     }
-    nested = X.where_size(spans, lambda s: F.exists(spans, lambda o: (o["start"] < s["start"]) & (s["end"] < o["end"])))
+    # spans go by their starts, which all differ: one is nested if an earlier one ends later
+    nested = F.aggregate(spans, F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n")), lambda c, s: F.struct(F.greatest(c["last"], s["end"]).alias("last"), (c["n"] + (s["end"] < c["last"]).cast("int")).alias("n")), lambda c: c["n"])
+    tags = {k: X.count(raw, p) for k, p in TAGS.items()}
+    tags["pre_quote_speaker_verb"] = F.when(raw.rlike(BEFORE_QUOTE), tags["pre_quote_speaker_verb"]).otherwise(0)
     signals = {
         "quoted_span": F.size(spans), "nested_quote": nested, "block_quote_line": X.where_size(F.col("lines"), lambda x: x.rlike(BLOCK_QUOTE)), "dialogue_dash_line": X.where_size(F.col("lines"), lambda x: x.rlike(DASH_LINE)),
-        "speaker_tag": sum((X.count(raw, p) for p in TAGS.values()), F.lit(0)),
+        "speaker_tag": sum(tags.values(), F.lit(0)),
     }
+    step, found = made_once("quote_counts", marks | signals)
     features: list[Feature] = []
-    for k, value in marks.items():
-        features += counted(lambda m, k=k: f"{base}::quote_mark={k}::{m}", value, n, "per_1000_tokens", "zero_tokens")
-    for k, value in signals.items():
-        features += counted(lambda m, k=k: f"{base}::signal={k}::{m}", value, n, "per_1000_tokens", "zero_tokens")
+    for k in marks:
+        features += counted(lambda m, k=k: f"{base}::quote_mark={k}::{m}", found[k], n, "per_1000_tokens", "zero_tokens")
+    for k in signals:
+        features += counted(lambda m, k=k: f"{base}::signal={k}::{m}", found[k], n, "per_1000_tokens", "zero_tokens")
     places = {f"places_{kind}": quote_places(raw, chars) for kind, chars in QUOTES.items()}
-    return Block("quote_dialogue", tuple(features), (places, {"quote_spans": quote_spans({kind: F.col(f"places_{kind}") for kind in QUOTES})}))
+    return Block("quote_dialogue", tuple(features), (places, {"quote_spans": quote_spans({kind: F.col(f"places_{kind}") for kind in QUOTES})}, step))
 
 
 # --- layout

@@ -55,6 +55,7 @@ def test_white_space_and_letters(texts):
 #: query: what its plan has once at most, or not at all
 ONCE = {
     "length_statistics": {"array_sort(": 0, "[^a-z]": 0},
+    "quote_dialogue": {"[—–―]": 1, "exists(": 0},
 }
 
 
