@@ -331,22 +331,22 @@ def transition_block() -> Block:
 # --- abbreviations and acronyms
 
 ACRONYM_CLASSES = {
-    "all_caps": rf"(?<![{X.WORD}])[A-Z]{{2,}}(?![{X.WORD}])", "dotted": r"(?<![A-Za-z0-9_])(?:[A-Z]\.){2,}(?![A-Za-z0-9_])", "mixed_alnum": rf"(?<![{X.WORD}])(?:[A-Z]+[0-9][A-Z0-9]*|[0-9]+[A-Z][A-Z0-9]*)(?![{X.WORD}])",
+    "all_caps": rf"(?=[A-Z])(?<![{X.WORD}])[A-Z]{{2,}}(?![{X.WORD}])", "dotted": r"(?=[A-Z])(?<![A-Za-z0-9_])(?:[A-Z]\.){2,}(?![A-Za-z0-9_])", "mixed_alnum": rf"(?=[A-Z0-9])(?<![{X.WORD}])(?:[A-Z]+[0-9][A-Z0-9]*|[0-9]+[A-Z][A-Z0-9]*)(?![{X.WORD}])",
 }
 
 
 def guarded(token: str, dots: bool) -> str:
     """A token that isn't part of a longer one; ``dots``: nor next to a full stop."""
     edge = "A-Za-z0-9_." if dots else "A-Za-z0-9_"
-    return f"(?<![{edge}]){re.escape(token)}(?![{edge}])"
+    return f"(?={re.escape(token[0])})(?<![{edge}]){re.escape(token)}(?![{edge}])"
 
 
 def abbreviation_block() -> Block:
     base, n = "text::abbreviation_acronym_profile", F.size("tokens")
     features: list[Feature] = []
     prepare: dict[str, Column] = {}
-    def listed(words: Lexicon, kind: str, text: Column, pattern) -> list[Feature]:
-        prepare[f"found_{kind}"] = F.array(*[X.count(text, pattern(e.token)) for e in words.entries])
+    def listed(words: Lexicon, kind: str, text: Column, form, pattern) -> list[Feature]:
+        prepare[f"found_{kind}"] = F.array(*[X.count_if(text, form(e.token), pattern(form(e.token))) for e in words.entries])
         at = lambda i: F.get(F.col(f"found_{kind}"), F.lit(i))
         out: list[Feature] = []
         for i, e in enumerate(words.entries):
@@ -355,11 +355,12 @@ def abbreviation_block() -> Block:
             both = sum((at(i) for i, e in enumerate(words.entries) if g in e.groups), F.lit(0))
             out += counted(lambda m, g=g: f"{base}::{kind}_group={g}::{m}", both, n, "per_1000_tokens", "zero_tokens")
         return out
-    features += listed(lexicon("abbreviations"), "abbreviation", F.col("lower_raw"), lambda t: guarded(t.lower(), "." not in t))
-    features += listed(lexicon("acronyms"), "named_acronym", F.col("raw"), lambda t: guarded(t, False))
-    for k, pattern in ACRONYM_CLASSES.items():
-        features += counted(lambda m, k=k: f"{base}::acronym_class={k}::{m}", X.count(F.col("raw"), pattern), n, "per_1000_tokens", "zero_tokens")
-    return Block("abbreviation_acronym", tuple(features), (prepare,))
+    features += listed(lexicon("abbreviations"), "abbreviation", F.col("lower_raw"), str.lower, lambda t: guarded(t, "." not in t))
+    features += listed(lexicon("acronyms"), "named_acronym", F.col("raw"), str, lambda t: guarded(t, False))
+    classes, found = made_once("acronym_counts", {k: X.count(F.col("raw"), pattern) for k, pattern in ACRONYM_CLASSES.items()})
+    for k in ACRONYM_CLASSES:
+        features += counted(lambda m, k=k: f"{base}::acronym_class={k}::{m}", found[k], n, "per_1000_tokens", "zero_tokens")
+    return Block("abbreviation_acronym", tuple(features), (prepare | classes,))
 
 
 def format_table(view: DataFrame) -> DataFrame:

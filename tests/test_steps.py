@@ -56,6 +56,7 @@ def test_white_space_and_letters(texts):
 ONCE = {
     "length_statistics": {"array_sort(": 0, "[^a-z]": 0},
     "quote_dialogue": {"[—–―]": 1, "exists(": 0},
+    "abbreviations_acronyms": {"[0-9]+[A-Z]": 1},
 }
 
 
