@@ -40,7 +40,7 @@ def character_block(characters: str, family: str) -> Block:
     for c in characters:
         shown = c.replace("\n", "\\n")
         features.append(Feature(f"text::{family}::char={shown}", ratio(X.occurrences(F.col("lower_raw"), c), F.col("n_letters")), F.lit("zero_letters")))
-    return Block(family, tuple(features), ({"n_letters": X.count(F.col("raw"), r"\p{L}")},))
+    return Block(family, tuple(features), ({"n_letters": X.letter_count(F.col("raw"))},))
 
 
 def letter_frequency_block() -> Block:

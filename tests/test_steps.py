@@ -57,6 +57,7 @@ ONCE = {
     "length_statistics": {"array_sort(": 0, "[^a-z]": 0},
     "quote_dialogue": {"[—–―]": 1, "exists(": 0},
     "abbreviations_acronyms": {"[0-9]+[A-Z]": 1},
+    "letter_frequency": {"regexp_extract_all": 0},
 }
 
 
