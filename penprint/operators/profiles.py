@@ -171,15 +171,14 @@ def punctuation_block() -> Block:
     among = lambda chars: F.length(raw) - F.length(F.translate(raw, chars, ""))
     def three(name: str, count: Column) -> list[Feature]:
         return [Feature(f"{base}::{name}::count", count), Feature(f"{base}::{name}::per_1000_tokens", ratio(count, n, 1000.0), F.lit("zero_tokens")), Feature(f"{base}::{name}::per_sentence", ratio(count, s), F.lit("zero_sentences"))]
-    features = three("total", among("".join(c for c, *_ in PUNCTUATION.values())))
-    for mark, (char, *_) in PUNCTUATION.items():
-        features += three(f"mark={mark}", X.occurrences(raw, char))
-    for k in PUNCTUATION_CLASSES:
-        features += three(f"class={k}", among("".join(c for c, classes, _ in PUNCTUATION.values() if k in classes)))
-    for final in (*FINALS, "no_terminal_punctuation"):
-        found = X.where_size(F.col("final_marks"), _final(final))
-        features += counted(lambda m, f=final: f"{base}::sentence_final={f}::{m}", found, s, "ratio", "zero_sentences", 1.0)
-    return Block("punctuation", tuple(features), ({"only_marks": F.regexp_replace("raw", "[^" + "".join(f"\\x{{{ord(c):X}}}" for c, *_ in PUNCTUATION.values()) + "]+", ""), "final_marks": F.transform("sentences", lambda x: F.right(X.stripped_right(x), F.lit(1)))},))
+    counts = {"total": among("".join(c for c, *_ in PUNCTUATION.values()))} | {f"mark={mark}": X.occurrences(raw, char) for mark, (char, *_) in PUNCTUATION.items()}
+    counts |= {f"class={k}": among("".join(c for c, classes, _ in PUNCTUATION.values() if k in classes)) for k in PUNCTUATION_CLASSES}
+    finals = {final: X.where_size(F.col("final_marks"), _final(final)) for final in (*FINALS, "no_terminal_punctuation")}
+    step, found = made_once("mark_counts", counts | finals)
+    features = [f for k in counts for f in three(k, found[k])]
+    for final in finals:
+        features += counted(lambda m, f=final: f"{base}::sentence_final={f}::{m}", found[final], s, "ratio", "zero_sentences", 1.0)
+    return Block("punctuation", tuple(features), ({"only_marks": F.regexp_replace(F.regexp_replace("raw", r"[A-Za-z0-9 \n]+", ""), "[^" + "".join(f"\\x{{{ord(c):X}}}" for c, *_ in PUNCTUATION.values()) + "]+", ""), "final_marks": F.transform("sentences", lambda x: F.right(X.stripped_right(x), F.lit(1)))}, step))
 
 
 def _final(kind: str):

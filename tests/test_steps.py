@@ -58,6 +58,7 @@ ONCE = {
     "quote_dialogue": {"[—–―]": 1, "exists(": 0},
     "abbreviations_acronyms": {"[0-9]+[A-Z]": 1},
     "letter_frequency": {"regexp_extract_all": 0},
+    "punctuation_profile": {"size(filter(": 6},
 }
 
 
