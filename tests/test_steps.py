@@ -59,6 +59,7 @@ ONCE = {
     "abbreviations_acronyms": {"[0-9]+[A-Z]": 1},
     "letter_frequency": {"regexp_extract_all": 0},
     "punctuation_profile": {"size(filter(": 6},
+    "readability": {"[^a-z]": 0},
 }
 
 
