@@ -24,22 +24,26 @@ def capitalization_block() -> Block:
     classes = {
         "all_caps": all_caps, "acronym_like": lambda x: dotted(x) | all_caps(x), "camel_case": lambda x: x.rlike(r"\A[a-z]+(?:[A-Z][A-Za-z0-9]*)+\z"), "pascal_case": lambda x: x.rlike(r"\A[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)+\z"),
     }
-    features: list[Feature] = []
-    for k, test in classes.items():
-        features += counted(lambda m, k=k: f"{base}::token_class={k}::{m}", X.where_size(tokens, test), F.size(tokens), "per_1000_tokens", "zero_capitalization_tokens")
     def small_heading(x: Column) -> Column:
         s = X.stripped(x)
-        return (X.count(x, "[A-Za-z]+") >= 2) & (F.length(s) <= 80) & ~s.rlike(r"[.!?]\z") & ~x.rlike("[A-Z]")
-    for k, test in {"titlecase_line": is_title, "lowercase_heading_line": small_heading}.items():
-        features += counted(lambda m, k=k: f"{base}::line_class={k}::{m}", X.where_size(rows, test), F.size(rows), "ratio", "zero_nonblank_lines", 1.0)
-    for k, case in {"uppercase": r"\p{IsUppercase}", "lowercase": r"\p{IsLowercase}"}.items():
-        found = _matching(firsts, case)
-        features += counted(lambda m, k=k: f"{base}::sentence_initial={k}::{m}", found, F.size(firsts), "ratio", "zero_sentence_initials", 1.0)
+        return (F.length(s) <= 80) & ~x.rlike("[A-Z]") & (X.count(x, "[A-Za-z]+") >= 2) & ~s.rlike(r"[.!?]\z")
+    # of every class a token has a capital or a full stop behind its first character
+    by_class = {k: X.where_size(F.col("cap_marked"), test) for k, test in classes.items()}
+    by_line = {k: X.where_size(rows, test) for k, test in {"titlecase_line": is_title, "lowercase_heading_line": small_heading}.items()}
+    by_initial = {k: _matching(firsts, case) for k, case in {"uppercase": r"\p{IsUppercase}", "lowercase": r"\p{IsLowercase}"}.items()}
+    step, found = made_once("cap_counts", by_class | by_line | by_initial)
+    features: list[Feature] = []
+    for k in by_class:
+        features += counted(lambda m, k=k: f"{base}::token_class={k}::{m}", found[k], F.size(tokens), "per_1000_tokens", "zero_capitalization_tokens")
+    for k in by_line:
+        features += counted(lambda m, k=k: f"{base}::line_class={k}::{m}", found[k], F.size(rows), "ratio", "zero_nonblank_lines", 1.0)
+    for k in by_initial:
+        features += counted(lambda m, k=k: f"{base}::sentence_initial={k}::{m}", found[k], F.size(firsts), "ratio", "zero_sentence_initials", 1.0)
     prepare = {
         "cap_tokens": F.regexp_extract_all("raw", F.lit(r"((?:[A-Za-z]\.){2,}|[A-Za-z][A-Za-z0-9_]*)"), F.lit(1)), "cap_lines": F.filter("lines", lambda x: X.stripped(x) != ""),
         "cap_initials": F.filter(F.transform("sentences", lambda s: F.regexp_extract(s, r"\p{L}", 0)), lambda c: c != ""),
     }
-    return Block("capitalization", tuple(features), (prepare,))
+    return Block("capitalization", tuple(features), (prepare, {"cap_marked": F.filter("cap_tokens", lambda x: x.rlike("[A-Za-z0-9_.][A-Z.]"))}, step))
 
 
 def _matching(array: Column, pattern: str) -> Column:
