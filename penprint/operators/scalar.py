@@ -38,14 +38,14 @@ def n_types() -> Column:
 
 def richness_columns() -> tuple[dict[str, Column], ...]:
     """Helper columns: occurrences, type frequencies, places of earlier occurrences."""
-    occurrences = F.array_sort(F.transform("tokens", lambda x, i: F.struct(x.alias("t"), i.alias("i"))))
+    occurrences = F.sort_array(F.transform("tokens", lambda x, i: F.struct(x.alias("t"), i.alias("i"))))
     at = lambda i: F.get(F.col("occurrences"), i)
     earlier = F.transform("occurrences", lambda o, k: F.struct(o["i"].alias("i"), F.when((k > 0) & (at(k - 1)["t"] == o["t"]), at(k - 1)["i"]).otherwise(F.lit(-1)).alias("p")))
     return (
         {"n_tokens": F.size("tokens"), "occurrences": occurrences},
         # a column of its own: an expression inside a lambda would be computed for each item
-        {"sorted_tokens": F.transform("occurrences", lambda o: o["t"]), "earlier": earlier},
-        {"type_frequencies": F.array_sort(X.run_lengths(F.col("sorted_tokens")))},
+        {"sorted_tokens": F.sort_array("tokens"), "earlier": earlier},
+        {"type_frequencies": F.sort_array(X.run_lengths(F.col("sorted_tokens")))},
         {"n_types": F.size(F.array_distinct("tokens")), "hapax": X.where_size(F.col("type_frequencies"), lambda f: f == 1), "dis": X.where_size(F.col("type_frequencies"), lambda f: f == 2), "sum_squares": X.total(F.col("type_frequencies"), lambda f: f.cast("double") * f)},
         {"frequency_spectrum": F.transform(F.array_distinct("type_frequencies"), lambda f: F.struct(f.alias("f"), X.where_size(F.col("type_frequencies"), lambda g: g == f).alias("types")))},
     )

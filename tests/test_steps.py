@@ -60,6 +60,7 @@ ONCE = {
     "letter_frequency": {"regexp_extract_all": 0},
     "punctuation_profile": {"size(filter(": 6},
     "readability": {"[^a-z]": 0},
+    "lexical_richness": {"array_sort(": 0},
 }
 
 
