@@ -19,12 +19,11 @@ FAMILIES = {
 
 def family_values(config) -> dict[str, Column]:
     """The array of values of each family."""
-    syllables_in = lambda t: X.total(X.tokens(X.normalized(t, config), config), X.syllables, "int")
     count_in = lambda t: X.token_count(t, config)
     return {
-        "word_characters": F.transform("tokens", F.length), "syllables_per_word": F.transform("tokens", X.syllables),
-        "sentence_tokens": F.transform("sentences", count_in), "sentence_characters": F.transform("sentences", F.length), "sentence_syllables": F.transform("sentences", syllables_in),
-        "paragraph_tokens": F.transform("paragraphs", count_in), "paragraph_characters": F.transform("paragraphs", F.length), "paragraph_syllables": F.transform("paragraphs", syllables_in),
+        "word_characters": F.transform("tokens", F.length), "syllables_per_word": X.word_syllables(F.col("tokens")),
+        "sentence_tokens": F.transform("sentences", count_in), "sentence_characters": F.transform("sentences", F.length), "sentence_syllables": X.text_syllables(F.col("sentences"), config),
+        "paragraph_tokens": F.transform("paragraphs", count_in), "paragraph_characters": F.transform("paragraphs", F.length), "paragraph_syllables": X.text_syllables(F.col("paragraphs"), config),
         "paragraph_sentences": F.transform("paragraphs", lambda p: F.size(X.sentences(X.normalized(p, config)))), "line_characters": F.transform("lines", F.length),
         "punctuation_sequence_characters": F.transform(F.regexp_extract_all("raw", F.lit(f"({X.PUNCTUATION_RUN})"), F.lit(1)), F.length),
     }
@@ -38,7 +37,7 @@ def statistics(prefix: str, zero_reason: str, name) -> tuple[tuple[dict[str, Col
     m = F.col(f"{prefix}__moments")
     power = lambda k: X.total(a, lambda x: F.pow(x - m["mean"], F.lit(k)))
     prepare = (
-        {f"{prefix}__sorted": F.array_sort(prefix)},
+        {f"{prefix}__sorted": F.sort_array(prefix)},
         {f"{prefix}__moments": F.struct((X.total(a, kind="long") / some).alias("mean"))},
         {f"{prefix}__central": F.struct(power(2.0).alias("s2"), power(3.0).alias("s3"), power(4.0).alias("s4")), f"{prefix}__runs": X.run_lengths(a)},
     )

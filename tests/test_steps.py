@@ -61,6 +61,7 @@ ONCE = {
     "punctuation_profile": {"size(filter(": 6},
     "readability": {"[^a-z]": 0},
     "lexical_richness": {"array_sort(": 0},
+    "distribution_word_characters": {"array_sort(": 0},
 }
 
 
