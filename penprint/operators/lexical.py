@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from penprint.functions import text as X
 from penprint.functions.lexicons import FREQUENCY_BANDS, SPELLING_VARIANTS, Lexicon, lexicon
 from penprint.operators.scalar import n_tokens, n_types, richness_columns
-from penprint.plans.blocks import SHORT, Block, Feature, counted, ratio
+from penprint.plans.blocks import SHORT, Block, Feature, counted, made_once, ratio
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Marks of the punctuation frequencies.
@@ -96,20 +96,24 @@ def density_block(words: Lexicon | None = None) -> Block:
     return Block("lexical_density", tuple(features), ({mine: hits(words.tokens)},))
 
 
+def _equal(f: int):
+    return lambda g: g == f
+
+
 def spectrum_block(bins: int = 20) -> Block:
     """Types met once and twice, and types of each frequency up to ``bins``."""
     if bins < 1:
         raise ValueError("at least one bin")
     base, n, v = "text::lexical_richness_spectrum", n_tokens(), n_types()
-    of = lambda f: X.where_size(F.col("type_frequencies"), lambda g: g == f)
+    step, of = made_once("spectrum_bins", {str(f): X.where_size(F.col("type_frequencies"), _equal(f)) for f in range(1, bins + 1)})
     features: list[Feature] = []
     for kind, column, f in (("hapax", "hapax", 1), ("dis_legomena", "dis", 2)):
         types = F.col(column)
         features += [Feature(f"{base}::{kind}::count", types), Feature(f"{base}::{kind}::types_ratio", ratio(types, v), F.lit("zero_types")), Feature(f"{base}::{kind}::tokens_ratio", ratio(types * f, n), F.lit("zero_tokens")), Feature(f"{base}::{kind}::per_1000_tokens", ratio(types, n, 1000.0), F.lit("zero_tokens"))]
     for f in range(1, bins + 1):
-        types = of(f)
+        types = of[str(f)]
         features += [Feature(f"{base}::frequency_bin={f}::type_count", types), Feature(f"{base}::frequency_bin={f}::types_ratio", ratio(types, v), F.lit("zero_types")), Feature(f"{base}::frequency_bin={f}::tokens_ratio", ratio(types * f, n), F.lit("zero_tokens"))]
-    return Block("lexical_richness_spectrum", tuple(features), richness_columns())
+    return Block("lexical_richness_spectrum", tuple(features), (*richness_columns(), step))
 
 
 def sophistication_block(bands: Sequence[tuple[str, str, int, float]] = FREQUENCY_BANDS) -> Block:

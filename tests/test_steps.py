@@ -62,6 +62,7 @@ ONCE = {
     "readability": {"[^a-z]": 0},
     "lexical_richness": {"array_sort(": 0},
     "distribution_word_characters": {"array_sort(": 0},
+    "frequency_spectrum": {" = 17)": 1},
 }
 
 
