@@ -63,6 +63,7 @@ ONCE = {
     "lexical_richness": {"array_sort(": 0},
     "distribution_word_characters": {"array_sort(": 0},
     "frequency_spectrum": {" = 17)": 1},
+    "distribution_sentence_syllables": {"[^a-z]": 0},
 }
 
 
