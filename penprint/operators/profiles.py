@@ -277,16 +277,18 @@ def layout_block() -> Block:
         "mean_indentation_spaces": ratio(X.total(indent, kind="long"), F.size(filled)), "repeated_space_run": F.size(runs), "repeated_space_character": X.total(runs, F.length, "long"), "leading_whitespace_line": X.where_size(rows, lambda x: x.rlike(rf"\A[{X.SPACE}]")),
         "trailing_whitespace_line": X.where_size(rows, lambda x: x.rlike(r"[ \t]\z")), "hard_wrap_candidate_line": F.size(F.filter(rows, wrapped)),
     }
+    step, found = made_once("layout_counts", {k: X.where_size(rows, test) for k, test in LAYOUT_MARKERS.items()} | counts)
     features: list[Feature] = []
-    for k, test in LAYOUT_MARKERS.items():
-        features += counted(lambda m, k=k: f"{base}::layout_marker={k}::{m}", X.where_size(rows, test), n, "per_100_lines", "zero_lines", 100.0)
+    for k in LAYOUT_MARKERS:
+        features += counted(lambda m, k=k: f"{base}::layout_marker={k}::{m}", found[k], n, "per_100_lines", "zero_lines", 100.0)
     features += [Feature(f"{base}::section_depth::max_markdown_heading_depth", F.coalesce(F.array_max(depths), F.lit(0))), Feature(f"{base}::section_depth::mean_markdown_heading_depth", ratio(X.total(depths, kind="long"), F.size(depths)), F.lit("zero_heading_lines"))]
-    for k, value in counts.items():
+    for k in counts:
+        value = found[k]
         if k.endswith("_spaces"):
             features.append(Feature(f"{base}::whitespace={k}", value, F.lit("zero_nonblank_lines")))
         else:
             features += counted(lambda m, k=k: f"{base}::whitespace={k}::{m}", value, n, "per_100_lines", "zero_lines", 100.0)
-    return Block("layout_whitespace", tuple(features), ({"filled_lines": F.filter(rows, lambda x: X.stripped(x) != ""), "heading_depths": F.filter(F.transform(rows, heading_depth), lambda d: d > 0)},))
+    return Block("layout_whitespace", tuple(features), ({"filled_lines": F.filter(rows, lambda x: X.stripped(x) != ""), "heading_depths": F.filter(F.transform(rows, heading_depth), lambda d: d > 0)}, step))
 
 
 # --- phrases

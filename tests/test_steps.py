@@ -64,6 +64,7 @@ ONCE = {
     "distribution_word_characters": {"array_sort(": 0},
     "frequency_spectrum": {" = 17)": 1},
     "distribution_sentence_syllables": {"[^a-z]": 0},
+    "layout_whitespace": {"[.!?:;]": 1},
 }
 
 
