@@ -61,6 +61,8 @@ class Vocabulary:
     items: DataFrame
     prefix: str
     relative: bool = False
+    #: how many items it has at most, if that is known
+    most: int | None = None
 
     def names(self) -> list[str]:
         return [f"{self.prefix}{r['item']}".replace("\n", "\\n") for r in self.items.orderBy("position").select("item").collect()]
@@ -89,13 +91,14 @@ def fit(view: DataFrame, items: Column, prefix: str, most: int | None, relative:
     if most is not None and most < 1:
         raise ValueError("a vocabulary of at least one item")
     counts = view.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("count"))
-    return Vocabulary(ranked(counts, most), prefix, relative)
+    return Vocabulary(ranked(counts, most), prefix, relative, most)
 
 
 def transform(view: DataFrame, items: Column, vocabulary: Vocabulary) -> DataFrame:
     """``doc_id, feature, value`` of the items that a document has; those that it hasn't are 0 by absence."""
     words = vocabulary.items.select("item", "position")
-    small = words.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    # counting the items would fit them once more
+    small = (words.limit(MOST_BROADCAST + 1).count() if vocabulary.most is None else vocabulary.most) <= MOST_BROADCAST
     rows = view.select("doc_id", F.size("tokens").alias("n"), F.explode(items).alias("item")).join(F.broadcast(words) if small else words, "item")
     counts = rows.groupBy("doc_id", "item").agg(F.count("*").cast("double").alias("value"), F.first("n").alias("n"))
     value = F.col("value") / F.col("n") if vocabulary.relative else F.col("value")

@@ -72,3 +72,9 @@ ONCE = {
 def test_each_step_is_done_once(spark, tmp_path, name):
     found = plan(spark, tmp_path, name)
     assert {k: found.count(k) for k in ONCE[name] if found.count(k) > ONCE[name][k]} == {}
+
+
+def test_a_vocabulary_of_known_size_is_not_counted(spark, texts, monkeypatch):
+    words = fitted.fit_most_frequent_words(texts, 5)
+    monkeypatch.setattr(type(words.items), "count", lambda self: pytest.fail("counted"))
+    assert words.most == 5 and fitted.transform(texts, F.col("tokens"), words).columns == ["doc_id", "feature", "value"]
