@@ -65,6 +65,7 @@ ONCE = {
     "frequency_spectrum": {" = 17)": 1},
     "distribution_sentence_syllables": {"[^a-z]": 0},
     "layout_whitespace": {"[.!?:;]": 1},
+    "distribution_paragraph_syllables": {"[^a-z]": 0},
 }
 
 
