@@ -66,6 +66,7 @@ ONCE = {
     "distribution_sentence_syllables": {"[^a-z]": 0},
     "layout_whitespace": {"[.!?:;]": 1},
     "distribution_paragraph_syllables": {"[^a-z]": 0},
+    "distribution_syllables_per_word": {"[^a-z]": 0},
 }
 
 
