@@ -35,7 +35,8 @@ def grams(items: Column, low: int, high: int, glue: str) -> Column:
 
 
 def character_grams(text: Column, low: int, high: int) -> Column:
-    return grams(F.when(text == "", X.no_strings()).otherwise(F.split(text, "")), low, high, "")
+    """All runs of ``low`` to ``high`` characters: what follows each character, itself included."""
+    return F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1)) for k in range(low, high + 1)])
 
 
 def ngram_items(analyzer: str, low: int, high: int) -> Column:

@@ -52,6 +52,11 @@ def test_white_space_and_letters(texts):
     assert {tuple(r) for r in texts.select(*[a == b for a, b in pairs.values()]).collect()} == {(True,) * len(pairs)}
 
 
+def test_character_grams(texts):
+    rows = texts.select("raw", fitted.character_grams(F.col("raw"), 1, 3).alias("g")).collect()
+    assert all(r.g == [r.raw[i:i + k] for k in (1, 2, 3) for i in range(len(r.raw) - k + 1)] for r in rows)
+
+
 #: query: what its plan has once at most, or not at all
 ONCE = {
     "length_statistics": {"array_sort(": 0, "[^a-z]": 0},
@@ -67,6 +72,7 @@ ONCE = {
     "layout_whitespace": {"[.!?:;]": 1},
     "distribution_paragraph_syllables": {"[^a-z]": 0},
     "distribution_syllables_per_word": {"[^a-z]": 0},
+    "char_ngrams": {"zip_with": 0},
 }
 
 
