@@ -303,7 +303,7 @@ def item_id(token: str) -> str:
 
 def phrase_pattern(phrase: str) -> str:
     """The words of a phrase with any white space between, not inside a longer word."""
-    return r"(?<![A-Za-z0-9_-])" + f"[{X.SPACE}]+".join(map(re.escape, phrase.lower().split(" "))) + r"(?![A-Za-z0-9_-])"
+    return f"(?={re.escape(phrase.lower()[0])})(?<![A-Za-z0-9_-])" + f"[{X.SPACE}]+".join(map(re.escape, phrase.lower().split(" "))) + r"(?![A-Za-z0-9_-])"
 
 
 def phrase_block(phrases: Lexicon, family: str) -> Block:
@@ -311,7 +311,7 @@ def phrase_block(phrases: Lexicon, family: str) -> Block:
     ids = [item_id(e.token) for e in phrases.entries]
     if len(set(ids)) < len(ids):
         raise ValueError(f"phrases of {phrases.name} share a name")
-    n, text = F.size("tokens"), F.lower("normalized")
+    n, text = F.size("tokens"), F.col("lower_normalized")
     column = lambda i: F.get(F.col(f"found_{family}"), F.lit(i))
     features: list[Feature] = []
     for i, e in enumerate(phrases.entries):
@@ -322,7 +322,7 @@ def phrase_block(phrases: Lexicon, family: str) -> Block:
     for g in phrases.groups:
         both = sum((column(i) for i, e in enumerate(phrases.entries) if g in e.groups), F.lit(0))
         features += counted(lambda m, g=g: f"text::{family}::group={g}::{m}", both, n, "per_1000_tokens", "zero_tokens")
-    return Block(family, tuple(features), ({f"found_{family}": F.array(*[X.count(text, phrase_pattern(e.token)) for e in phrases.entries])},))
+    return Block(family, tuple(features), ({"lower_normalized": F.lower("normalized")}, {f"found_{family}": F.array(*[X.count_if(text, e.token.lower().split(" ")[0], phrase_pattern(e.token)) for e in phrases.entries])}))
 
 
 def discourse_block() -> Block:

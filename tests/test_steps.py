@@ -73,6 +73,7 @@ ONCE = {
     "distribution_paragraph_syllables": {"[^a-z]": 0},
     "distribution_syllables_per_word": {"[^a-z]": 0},
     "char_ngrams": {"zip_with": 0},
+    "discourse_markers": {"lower(normalized": 1},
 }
 
 
