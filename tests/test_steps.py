@@ -59,21 +59,10 @@ def test_character_grams(texts):
 
 #: query: what its plan has once at most, or not at all
 ONCE = {
-    "length_statistics": {"array_sort(": 0, "[^a-z]": 0},
-    "quote_dialogue": {"[—–―]": 1, "exists(": 0},
-    "abbreviations_acronyms": {"[0-9]+[A-Z]": 1},
-    "letter_frequency": {"regexp_extract_all": 0},
-    "punctuation_profile": {"size(filter(": 6},
-    "readability": {"[^a-z]": 0},
-    "lexical_richness": {"array_sort(": 0},
-    "distribution_word_characters": {"array_sort(": 0},
-    "frequency_spectrum": {" = 17)": 1},
-    "distribution_sentence_syllables": {"[^a-z]": 0},
-    "layout_whitespace": {"[.!?:;]": 1},
-    "distribution_paragraph_syllables": {"[^a-z]": 0},
-    "distribution_syllables_per_word": {"[^a-z]": 0},
-    "char_ngrams": {"zip_with": 0},
-    "discourse_markers": {"lower(normalized": 1},
+    "length_statistics": {"array_sort(": 0, "[^a-z]": 0}, "surface_counts": {"])[A-Z]{2,}": 1}, "orthography": {r"\p{Lu}": 1, "array_sort(": 0}, "quote_dialogue": {"[—–―]": 1, "exists(": 0}, "format_layers": {"#{1,6}": 1},
+    "abbreviations_acronyms": {"[0-9]+[A-Z]": 1}, "letter_frequency": {"regexp_extract_all": 0}, "punctuation_profile": {"size(filter(": 6}, "readability": {"[^a-z]": 0}, "capitalization": {r"\p{IsUppercase}": 1}, "lexical_richness": {"array_sort(": 0},
+    "distribution_word_characters": {"array_sort(": 0}, "frequency_spectrum": {" = 17)": 1}, "distribution_sentence_syllables": {"[^a-z]": 0}, "layout_whitespace": {"[.!?:;]": 1}, "distribution_paragraph_syllables": {"[^a-z]": 0}, "distribution_syllables_per_word": {"[^a-z]": 0},
+    "char_ngrams": {"zip_with": 0}, "discourse_markers": {"lower(normalized": 1},
 }
 
 
